@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvellum.llm import near
+from corvellum.llm import leaks, near, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": split.p1_found,
+        "p1_pieces": split.p1_pieces,
         "p2_found": near.p2_found,
         "p2_groups": near.p2_groups,
+        "p7_found": leaks.p7_found,
+        "p7_leaks": leaks.p7_leaks,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        # Code points; repeated rows of a key are one item.
+        "p1_found": """
+            SELECT DISTINCT 'chunk_text' AS item_kind, chunk_id AS item_id FROM chunks WHERE length(text) > 1600
+            UNION SELECT DISTINCT 'chunk_embed_text', chunk_id FROM chunks WHERE length(embed_text) > 1700
+            UNION SELECT DISTINCT 'full_text', paper_id FROM papers WHERE length(full_text) > 20000""",
+    }
