@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvellum.llm import leaks, near, split
+from corvellum.llm import language, leaks, near, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,9 @@ def queries() -> dict[str, Query]:
         "p2_groups": near.p2_groups,
         "p7_found": leaks.p7_found,
         "p7_leaks": leaks.p7_leaks,
+        "p8_found": language.p8_found,
+        "p8_documents": language.p8_documents,
+        "p8_segments": language.p8_segments,
     }
 
 
