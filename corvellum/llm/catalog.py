@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvellum.llm import language, leaks, near, split
+from corvellum.llm import language, leaks, looks, near, spans, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def queries() -> dict[str, Query]:
         "p1_pieces": split.p1_pieces,
         "p2_found": near.p2_found,
         "p2_groups": near.p2_groups,
+        "p3_found": spans.p3_found,
+        "p3_coverage": spans.p3_coverage,
+        "p4_found": looks.p4_found,
+        "p4_places": looks.p4_places,
         "p7_found": leaks.p7_found,
         "p7_leaks": leaks.p7_leaks,
         "p8_found": language.p8_found,

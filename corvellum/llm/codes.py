@@ -127,3 +127,26 @@ def char_grams(texts: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     at = np.flatnonzero(text[:count] == text[n - 1 :])
     return span_hash(prefix_hash(cp), at, at + n), text[at]
+
+
+def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every run of width values, in logarithmically many passes."""
+    count = len(values) - width + 1
+    if count <= 0:
+        return values[:0]
+    low, have = values, 1
+    while have * 2 <= width:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    return np.minimum(low[:count], low[width - have : width - have + count]) if have < width else low
+
+
+def seeds(prefix: np.ndarray, start: int, end: int, gram: int, width: int) -> np.ndarray:
+    """Hashes of the grams of a text [start, end) that are least in some run of width grams.
+
+    Any passage of gram + width - 1 characters that two texts share holds a seed of both.
+    """
+    at = np.arange(start, end - gram + 1)
+    if len(at) < width:
+        return np.zeros(0, U64)
+    return np.unique(sliding_minima(span_hash(prefix, at, at + gram), width))

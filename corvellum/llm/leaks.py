@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.codes import U64, Words, slices
+from corvellum.llm.codes import U64, Words, slices, sliding_minima
 
 #: Words of a passage that must be found, and words of a shingle.
 WINDOW, SHINGLE = 12, 5
@@ -34,12 +34,7 @@ def window_minima(w: Words) -> tuple[np.ndarray, np.ndarray]:
     count = len(grams) - span + 1
     if count <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    low, width = grams, 1
-    while width * 2 <= span:  # minima over 2, 4, 8 neighbours
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < span:
-        low = np.minimum(low[:count], low[span - width : span - width + count])
+    low = sliding_minima(grams, span)
     inside = np.flatnonzero(at[span - 1 :] - at[:count] == span - 1)
     return at[inside], low[inside]
 
