@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvellum.llm import language, leaks, looks, near, spans, split
+from corvellum.llm import language, leaks, looks, near, pairs, spans, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,8 @@ def queries() -> dict[str, Query]:
         "p3_coverage": spans.p3_coverage,
         "p4_found": looks.p4_found,
         "p4_places": looks.p4_places,
+        "p5_found": pairs.p5_found,
+        "p5_labels": pairs.p5_labels,
         "p7_found": leaks.p7_found,
         "p7_leaks": leaks.p7_leaks,
         "p8_found": language.p8_found,
