@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvellum.llm import language, leaks, looks, near, pairs, spans, split
+from corvellum.llm import language, leaks, looks, near, pack, pairs, spans, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "p4_places": looks.p4_places,
         "p5_found": pairs.p5_found,
         "p5_labels": pairs.p5_labels,
+        "p6_containers": pack.p6_containers,
+        "p6_fill": pack.p6_fill,
         "p7_found": leaks.p7_found,
         "p7_leaks": leaks.p7_leaks,
         "p8_found": language.p8_found,
