@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from corvellum.llm.codes import code_points, prefix_hash, seeds, slices, span_hash
+from corvellum.session import shared_folder
 
 #: Characters of a passage, of a gram, and grams in a run: GRAM + RUN - 1 is the passage.
 LEAST, GRAM, RUN = 160, 96, 65
@@ -149,6 +149,7 @@ class SharedSpans:
     """
 
     def __init__(self, records: DataFrame):
+        shared_folder(records.sparkSession)  # seeds in common and candidate pairs are checkpointed there
         self.records = records.select(
             "rec", F.xxhash64("paper_id").alias("paper"), F.coalesce("is_page", F.lit(False)).alias("is_page"), "text", F.xxhash64("text").alias("cls")
         ).where(F.col("rec").isNotNull() & F.col("paper_id").isNotNull() & (F.length("text") >= LEAST))
@@ -164,18 +165,17 @@ class SharedSpans:
         kinds = "cls bigint, paper bigint, is_page boolean, seeds array<bigint>"
         rows = self.records.mapInArrow(_seeded, kinds).select("cls", "paper", "is_page", F.explode("seeds").alias("seed"))
         rows = rows.repartition("seed").dropDuplicates(["seed", "cls", "paper", "is_page"])
-        shared = rows.groupBy("seed").agg(F.count("*").alias("n"), F.min("paper").alias("x"), F.max("paper").alias("y")).where("x != y")
-        warm = rows.join(shared.where(F.col("n") <= HOT).select("seed"), "seed", "left_semi")
-        hot = rows.join(shared.where(F.col("n") > HOT).select("seed"), "seed", "left_semi")
-        by_record = hot.groupBy("cls", "paper", "is_page").agg(F.collect_set("seed").alias("hot"))
+        spread = rows.groupBy("seed").agg(F.count("*").alias("n"), F.min("paper").alias("x"), F.max("paper").alias("y"))
+        shared = rows.join(spread.where("x != y").select("seed", "n"), "seed").checkpoint()
+        hot = shared.where(F.col("n") > HOT).groupBy("cls", "paper", "is_page").agg(F.collect_set("seed").alias("hot"))
         passages = (
-            self.records.select("cls", "paper", "is_page", "text").distinct().join(by_record, ["cls", "paper", "is_page"]).mapInArrow(_passages, kinds).select("cls", "paper", "is_page", F.explode("seeds").alias("seed")).distinct()
+            self.records.select("cls", "paper", "is_page", "text").distinct().join(hot, ["cls", "paper", "is_page"]).mapInArrow(_passages, kinds).select("cls", "paper", "is_page", F.explode("seeds").alias("seed")).distinct()
         )
-        return self._pairs(warm).unionByName(self._pairs(passages)).distinct()
+        return self._pairs(shared.where(F.col("n") <= HOT)).unionByName(self._pairs(passages)).distinct().checkpoint()
 
     def spans(self) -> DataFrame:
         """(doc, ref, span_start, span_end): maximal spans of a class found in another."""
-        pairs = self.candidates().persist(StorageLevel.DISK_ONLY)
+        pairs = self.candidates()
         directed = pairs.select(F.col("cls_a").alias("doc"), F.col("cls_b").alias("ref")).unionByName(pairs.select(F.col("cls_b").alias("doc"), F.col("cls_a").alias("ref")))
         wanted = directed.select(F.col("doc").alias("cls")).distinct()
         texts = self.records.select("cls", "text").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
