@@ -20,7 +20,7 @@ _CHAR = U64(0xBF58476D1CE4E5B9)
 _POWERS: dict[int, np.ndarray] = {}
 
 #: A slice of a batch holds about so many characters; bounds the memory of the numpy passes.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 300_000
 
 
 @lru_cache(1)

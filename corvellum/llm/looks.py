@@ -185,16 +185,16 @@ def quote_places(citations: DataFrame, pages: DataFrame) -> DataFrame:
     lower = [a + b - 1 for a, b in LEVELS]
     level = F.when(size >= lower[0], 0).when(size >= lower[1], 1).otherwise(2)
     forms = forms.withColumn("level", level)
-    found = forms.where("level = 2").select("q", "paper_id").join(pages.select("paper_id", "page"), "paper_id")
+    found = forms.where("level = 2").select("q", "paper_id").join(pages.select("paper_id", "page"), "paper_id").select("q", "page")
     for k in range(len(LEVELS)):
         some = forms.where(F.col("level") == k)
         wanted = _seeded(some.select("q", "paper_id", F.col("form").alias("text")), k, "text").select("q", "seed").repartition("seed")
         papers = some.select("paper_id").distinct()
-        there = _seeded(pages.join(papers, "paper_id", "left_semi"), k, "text").select("seed", "paper_id", "page").repartition("seed")
-        spread = there.groupBy("seed").agg(F.count("*").alias("n_pages"))
+        there = _seeded(pages.join(papers, "paper_id", "left_semi"), k, "text").select("seed", "page").where("page is not null").repartition("seed")
+        spread = there.groupBy("seed").agg(F.count("page").alias("n_pages"))  # of page, so both uses share one exchange
         rarest = wanted.join(spread, "seed", "left").groupBy("q").agg(F.min(F.coalesce("n_pages", F.lit(0))).alias("least"), F.min_by("seed", "n_pages").alias("seed")).where("least > 0").select("q", "seed")
-        found = found.unionByName(rarest.join(there, "seed").select("q", "paper_id", "page"))
-    asked = found.distinct().join(forms.select("q", "quote", F.col("form").alias("quote_form")), "q")
+        found = found.unionByName(rarest.join(there, "seed").select("q", "page"))
+    asked = found.distinct().join(forms.select("q", "paper_id", "quote", F.col("form").alias("quote_form")), "q")
     seen = asked.join(with_form(pages, "text"), ["paper_id", "page"]).where(F.contains("form", "quote_form"))
     places = seen.groupBy("q", "page").agg(F.max(F.contains("text", "quote")).alias("is_exact"))
     return quotes.select("citation_id", "q").join(places, "q").select("citation_id", "page", "is_exact").distinct()
