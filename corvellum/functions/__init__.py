@@ -1 +1 @@
-"""functions."""
+"""Column functions: text, identity, dates, rounding."""

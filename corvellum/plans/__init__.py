@@ -1 +1 @@
-"""plans."""
+"""Queries: operators put together over the library's tables."""

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from corvellum.plans import oracles
+from corvellum.plans import queries as Q
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {q.__name__: q for q in Q.ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracles.SQL)

@@ -1 +1 @@
-"""sources."""
+"""Reading and writing: tables, files, and the index of chunks."""
