@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvellum.llm import language, leaks, looks, near, pack, pairs, spans, split
+from corvellum.llm import language, leaks, looks, near, oracles, pack, pairs, spans, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,10 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        # Code points; repeated rows of a key are one item.
-        "p1_found": """
-            SELECT DISTINCT 'chunk_text' AS item_kind, chunk_id AS item_id FROM chunks WHERE length(text) > 1600
-            UNION SELECT DISTINCT 'chunk_embed_text', chunk_id FROM chunks WHERE length(embed_text) > 1700
-            UNION SELECT DISTINCT 'full_text', paper_id FROM papers WHERE length(full_text) > 20000""",
-    }
+    return dict(oracles.SQL)

@@ -154,8 +154,10 @@ def with_form(df: DataFrame, text: str) -> DataFrame:
     Width of letters, digits, signs and blanks, invisible characters, ligatures, composition
     of accents and look-alike letters of Greek and Cyrillic make no difference; case, accents,
     line breaks and compatibility characters of another look (superscripts) do.  Rows whose
-    text is NULL are left out; a text of invisible characters only has the empty form.
+    text is NULL are left out; a text of invisible characters only has the empty form; a column
+    of the name form is replaced.
     """
+    df = df.drop("form")
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     return df.where(F.col(text).isNotNull()).mapInArrow(_forms(None, text), f"{kinds}, form string")
 

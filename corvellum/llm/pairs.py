@@ -190,7 +190,8 @@ def label_model(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
 
     Every function's rates of voting for, against and not at all, with and without the
     defect, are learned; they start at what a function is written for, and weak priors keep
-    a function that never erred in few pairs from being taken for infallible.
+    a function that never erred in few pairs from being taken for infallible.  Abstaining
+    says nothing by itself: a pair on which all abstain keeps the prior.
     """
     if not counts:
         return {}
@@ -203,7 +204,7 @@ def label_model(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
     prior = 0.05
     post = np.zeros(len(patterns))
     for _ in range(rounds):
-        like = [np.log(rate[y][np.arange(votes.shape[1]), votes]).sum(axis=1) for y in (0, 1)]
+        like = [np.where(votes != 1, np.log(rate[y][np.arange(votes.shape[1]), votes]), 0).sum(axis=1) for y in (0, 1)]
         post = 1 / (1 + np.exp(np.clip(like[0] + np.log(1 - prior) - like[1] - np.log(prior), -500, 500)))
         for y, weight in ((1, n * post), (0, n * (1 - post))):
             for v in range(3):
