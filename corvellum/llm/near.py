@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from corvellum.llm.codes import U64, Words, char_grams, mix64, powers, slices
+from corvellum.session import shared_folder
 
 #: Base of the registers' spacing, rate of the exponential law, and the largest register.
 BASE, RATE, TOP = 1.01, 20.0, 4095
@@ -104,7 +105,9 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
     return float(j[np.argmax(fit)])
 
 
-def _sketch(plans: dict[str, Plan]) -> Callable:
+def _classed(plans: dict[str, Plan], banded: bool) -> Callable:
+    """Records to their class, and with it either their key or their band hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = np.asarray(batch.column("kind").to_pylist(), object)
@@ -112,17 +115,16 @@ def _sketch(plans: dict[str, Plan]) -> Callable:
             texts = batch.column("text").to_pylist()
             for salt, (kind, plan) in enumerate(sorted(plans.items())):
                 rows = np.flatnonzero(kinds == kind)
-                got: list[tuple] = []
-                for i, s in zip(rows, shingle_sets([texts[i] for i in rows], plan)):
-                    if len(s):
-                        got.append((keys[i], class_of(s, salt), band_hashes(registers(s, plan.registers), plan, salt)))
-                if got:
-                    bands = np.concatenate([g[2] for g in got])
+                sets = [(i, x) for i, x in zip(rows, shingle_sets([texts[i] for i in rows], plan)) if len(x)]
+                if not sets:
+                    continue
+                cls = pa.array([class_of(x, salt) for _, x in sets], pa.int64())
+                if banded:
+                    bands = np.concatenate([band_hashes(registers(x, plan.registers), plan, salt) for _, x in sets])
                     at = np.arange(0, len(bands) + 1, plan.bands, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(got)), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.int64()), pa.ListArray.from_arrays(at, pa.array(bands))],
-                        ["kind", "key", "cls", "bands"],
-                    )
+                    yield pa.RecordBatch.from_arrays([cls, pa.ListArray.from_arrays(at, pa.array(bands))], ["cls", "bands"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(sets)), cls, pa.array([keys[i] for i, _ in sets])], ["kind", "cls", "key"])
 
     return run
 
@@ -173,21 +175,19 @@ class NearDuplicates:
         self.records = records.select("kind", "key", "text").where(
             F.col("kind").isin(*plans) & F.col("key").isNotNull() & F.col("text").isNotNull()
         )
-        self.sketched = self.records.mapInArrow(
-            _sketch(plans), "kind string, key string, cls bigint, bands array<bigint>"
-        ).persist(StorageLevel.DISK_ONLY)
-        self.members = self.sketched.select("kind", "cls", "key")
+        shared_folder(records.sparkSession)  # candidate pairs are checkpointed there
+        self.members = self.records.mapInArrow(_classed(plans, False), "kind string, cls bigint, key string").persist(StorageLevel.DISK_ONLY)
 
     def candidates(self) -> DataFrame:
         """Pairs of classes that share a band."""
-        rows = self.sketched.select("cls", F.explode("bands").alias("band"))
+        rows = self.records.mapInArrow(_classed(self.plans, True), "cls bigint, bands array<bigint>").select("cls", F.explode("bands").alias("band"))
         rows = rows.repartition("band").dropDuplicates(["band", "cls"])
         a, b = (rows.select("band", F.col("cls").alias(f"cls_{s}")) for s in "ab")
         return a.join(b, "band").where("cls_a < cls_b").select("cls_a", "cls_b").distinct()
 
     def links(self) -> DataFrame:
         """(cls_a, cls_b, jaccard) of all pairs of different classes over the threshold."""
-        pairs = self.candidates().persist(StorageLevel.DISK_ONLY)
+        pairs = self.candidates().checkpoint()
         used = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
         keys = self.members.join(used, "cls", "left_semi").groupBy("kind", "cls").agg(F.min("key").alias("key"))
         texts = self.records.join(keys, ["kind", "key"]).select("kind", "cls", "text").distinct()
