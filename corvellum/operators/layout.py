@@ -48,7 +48,7 @@ def titles(blocks: DataFrame, page_height: float = 842.0) -> DataFrame:
     top = blocks.where((F.col("page") == 1) & (F.col("y0") < page_height / 2) & is_horizontal(F.col("dir_x"), F.col("dir_y")) & (F.trim("text") != ""))
     size = F.max("font_size").over(Window.partitionBy("paper_id"))
     lines = top.withColumn("largest", size).where("font_size > largest - 0.5").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))).alias("x"))
-    return lines.select("paper_id", F.left(T.normalise_block(F.array_join(F.transform("x.text", F.trim), " ")), F.lit(200)).alias("title"))
+    return lines.select("paper_id", F.left(T.normalise_block(F.array_join(F.transform("x.text", lambda x: F.trim(x)), " ")), F.lit(200)).alias("title"))
 
 
 def full_texts(pages: DataFrame) -> DataFrame:

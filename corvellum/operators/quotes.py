@@ -157,4 +157,4 @@ def render(quote: Column, page: Column, verified: Column, title: Column | None =
 
 def quoted(answer: Column) -> Column:
     """The passages an answer marks as quotes, trimmed."""
-    return F.transform(F.regexp_extract_all(answer, F.lit("(?s)<quote>(.*?)</quote>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(answer, F.lit("(?s)<quote>(.*?)</quote>"), F.lit(1)), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvellum.functions import text as T
 from corvellum.operators import chunking, corpus, layout, metrics, quotes, ranking, retrieval
 from corvellum.sources.tables import golden_violations, latest, merge_chunks, missing, numbered, table
+from corvellum.streaming.ingest import event_windows
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +125,7 @@ def renumbered_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paper_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.inventory(chunks(spark, d))
+    return corpus.inventory(chunks(spark, d)).withColumn("sections", F.array_join("sections", " | "))
 
 
 def distinct_papers(spark: SparkSession, d: str) -> DataFrame:
@@ -155,13 +156,13 @@ def index_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The eight best chunks for every golden question."""
-    return retrieval.bm25_ranking(_corpus(spark, d), _questions(spark, d), 8).select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+    return retrieval.bm25_ranking(_corpus(spark, d), _questions(spark, d), 8).select("query_id", "id", "rank", "score")
 
 
 def bm25_recent(spark: SparkSession, d: str) -> DataFrame:
     """The same among papers of 2020 and later, term weights being those of all."""
     hits = retrieval.bm25_ranking(_corpus(spark, d), _questions(spark, d), 8, retrieval.scope(year_min=2020))
-    return hits.select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+    return hits.select("query_id", "id", "rank", "score")
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -172,7 +173,7 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def dense_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest of all vectors to every one whose id is divisible by 50."""
     rows, asked = _vectors(spark, d)
-    return retrieval.dense_ranking(rows, asked, 10).select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+    return retrieval.dense_ranking(rows, asked, 10).select("query_id", "id", "rank", "score")
 
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
@@ -347,7 +348,7 @@ def history_last_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_latency(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_value"), F.max("value").alias("max_value"))
+    return table(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_value"), F.max("value").alias("max_value"))
 
 
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -358,6 +359,11 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("user_id", "session").agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("n_events"))
 
 
+def event_windows_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly windows by type, computed as a stream."""
+    return event_windows(spark, f"{d}/events.parquet")
+
+
 # --- relations ----------------------------------------------------------------------------
 
 
@@ -378,5 +384,5 @@ ALL = (
     locate_candidates, multi_part_gate, short_titles, renumbered_questions, paper_inventory, distinct_papers, upsert_merge, cache_misses, index_lookup, bm25_topk, bm25_recent, dense_topk_cosine, hybrid_rrf,
     rrf_fuse, interleave_facets, per_paper_cap, rerank_term_hits, first_appearance_dedup, answer_contexts, quote_exact_verify, quote_verify, citation_render, match_types, recall_at_k, metric_aggregate,
     golden_violation, category_counts, route_accuracy, confusion_dense, per_class_scores, misroutes, rewrite_metrics, within_question_delta, fired_despite_good, grounding_summary, refusal_correctness,
-    refusal_disagreements, cost_latency_grouping_sets, stratified_sample, grade_split, history_last_n, event_latency, event_sessions, revenue_by_nation, pricing_summary,
+    refusal_disagreements, cost_latency_grouping_sets, stratified_sample, grade_split, history_last_n, event_latency, event_sessions, event_windows_stream, revenue_by_nation, pricing_summary,
 )

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming: incremental ingest and event windows."""
