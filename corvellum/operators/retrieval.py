@@ -6,6 +6,7 @@ case.  Queries are a stated, small side; corpora are never broadcast.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,59 +77,112 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float
     return scored.where(F.round("score", DIGITS) > 0)
 
 
-def bm25_ranking(corpus: DataFrame, queries: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
-    """(query_id, id, score, rank), the k best by BM25; keep is a filter on the corpus'
-    columns that acts after scoring, so it never changes the weights."""
-    scored = bm25_scores(corpus, queries)
-    if keep is not None:
-        scored = scored.join(corpus.where(keep).select("id"), "id", "left_semi")
-    return top_k(scored.withColumn("score", F.round("score", DIGITS)), k, [F.col("score").desc(), "id"])
+class _Best:
+    """What can be among a query's k best, batch by batch: scores below the k-th best that a
+    task has seen so far stay there.  All ties with the k-th are kept; ids decide later."""
 
+    def __init__(self, n_queries: int, k: int):
+        self.best = np.full((n_queries, k), -np.inf)
+
+    def keep(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = self.best.shape[1]
+        both = np.concatenate([self.best, scores], axis=1)
+        self.best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        return np.nonzero(scores >= self.best.min(axis=1, keepdims=True))
+
+
+def _search(ids: list, k: int, scorer: Callable[[list], np.ndarray], columns: int, least: float) -> Callable:
+    """Runs scorer, rows to a matrix of a row a query, over columns (id, x); columns is what
+    else a row costs it, so that no matrix has more than some millions of cells."""
 
-def _nearest(ids: list, matrix: np.ndarray, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, best = pa.array(ids), _Best(len(ids), k)
+        width = max(1, 4_000_000 // max(len(ids), columns))
         for batch in batches:
-            column = batch.column("vector")
-            if isinstance(column, pa.ExtensionArray):
-                column = column.storage
-            rows = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
-            norms = np.linalg.norm(rows, axis=1, keepdims=True)
-            cosine = np.round(matrix @ (rows / np.where(norms == 0, 1, norms)).T, DIGITS)
-            best = np.argsort(-cosine, axis=1, kind="stable")
-            # All ties of a query's k-th are kept; which of them count is decided by id.
-            least = np.take_along_axis(cosine, best[:, [min(k, len(rows)) - 1]], axis=1)
-            q, d = np.nonzero(cosine >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), batch.column("id").take(pa.array(d)), pa.array(cosine[q, d])], ["query_id", "id", "score"])
+            for at in range(0, batch.num_rows, width):
+                part = batch.slice(at, width)
+                scores = np.round(scorer(part.column("x").to_pylist()), DIGITS)
+                q, d = best.keep(np.where(scores > least, scores, -np.inf))
+                real = scores[q, d] > least
+                q, d = q[real], d[real]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column("id").take(pa.array(d)), pa.array(scores[q, d])], ["query_id", "id", "score"])
 
     return run
 
 
-def dense_ranking(corpus: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, block: int = 4096) -> DataFrame:
-    """(query_id, id, score, rank): the k rows of corpus(id, vector) nearest to each of
-    queries(query_id, vector) by exact cosine.
-
-    The queries are the stated set; they go over the corpus in blocks of a bounded number,
-    each a matrix product per batch of which only the k best per query leave the task.
-    keep filters before the ranking.  NULL vectors are left out, a zero vector has cosine 0.
-    """
-    corpus = (corpus if keep is None else corpus.where(keep)).where("vector is not null").select("id", "vector")
-    queries = queries.where("vector is not null").select("query_id", "vector")
+def _in_blocks(corpus: DataFrame, queries: DataFrame, k: int, block: int, least: float, scorer_of: Callable[[list], tuple[Callable[[list], np.ndarray], int]]) -> DataFrame:
+    """The stated queries go over the corpus in blocks of a bounded number; only what can be
+    among a query's k best leaves a task."""
     q_type, d_type = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["id"]
     blocks = 1 + queries.count() // block
-    found = None
+    found = corpus.limit(0).select(F.lit(None).cast(q_type).alias("query_id"), "id", F.lit(0.0).alias("score"))
     for n in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).orderBy("query_id").collect()
         if part:
-            matrix = np.array([r.vector for r in part], np.float64)
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            matrix = matrix / np.where(norms == 0, 1, norms)
-            one = corpus.mapInArrow(_nearest([r.query_id for r in part], matrix, k), f"query_id {q_type}, id {d_type}, score double")
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = corpus.limit(0).select(F.lit(None).cast(q_type).alias("query_id"), "id", F.lit(0.0).alias("score"))
+            run = _search([r.query_id for r in part], k, *scorer_of(part), least)
+            found = found.unionByName(corpus.select("id", "x").mapInArrow(run, f"query_id {q_type}, id {d_type}, score double"))
     return top_k(found, k, [F.col("score").desc(), "id"])
 
 
+def bm25_ranking(corpus: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, block: int = 2048) -> DataFrame:
+    """(query_id, id, score, rank), the k best by the scores of bm25_scores.
+
+    Joining postings and queries makes a row for every common word of a text and a query;
+    here the queries' weights are a matrix by terms, and a batch of texts is one product
+    with it.  keep filters after the weights are known, so it never changes them.
+    """
+    known = corpus.where("text is not null")
+    queries = queries.where("text is not null").select("query_id", T.tokens(F.col("text")).alias("words"))
+    frequencies = document_frequencies(postings(corpus)).withColumn("raw", F.log(F.lit(known.count()) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean_weight = frequencies.agg(F.avg("raw")).scalar()
+    asked = queries.select(F.explode("words").alias("term")).distinct()
+    weights = {r.term: r.idf for r in frequencies.join(asked, "term").select("term", F.when(F.col("raw") < 0, EPSILON * mean_weight).otherwise(F.col("raw")).alias("idf")).collect()}
+    mean_size = known.select(F.size(T.tokens(F.col("text"))).alias("n")).agg(F.avg("n")).first()[0]
+
+    def scorer_of(part: list) -> tuple[Callable[[list], np.ndarray], int]:
+        column = {t: i for i, t in enumerate(sorted({w for r in part for w in r.words if w in weights}))}
+        matrix = np.zeros((len(part), len(column)))
+        for i, r in enumerate(part):
+            for w in r.words:
+                if w in column:
+                    matrix[i, column[w]] += weights[w]
+
+        def score(texts: list) -> np.ndarray:
+            gains = np.zeros((len(texts), len(column)))
+            for i, text in enumerate(texts):
+                words = re.findall("[a-z0-9]+", text.lower())
+                at = np.array([column[w] for w in words if w in column], np.int64)
+                if len(at):
+                    terms, tf = np.unique(at, return_counts=True)
+                    gains[i, terms] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_size))
+            return matrix @ gains.T
+
+        return score, len(column)
+
+    rows = (known if keep is None else known.where(keep)).select("id", F.col("text").alias("x"))
+    return _in_blocks(rows, queries, k, block, 0.0, scorer_of)
+
+
+def dense_ranking(corpus: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, block: int = 2048) -> DataFrame:
+    """(query_id, id, score, rank): the k rows of corpus(id, vector) nearest to each of
+    queries(query_id, vector) by exact cosine.
+
+    keep filters before the ranking.  NULL vectors are left out, a zero vector has cosine 0.
+    """
+
+    def unit(rows: list) -> np.ndarray:
+        matrix = np.array(rows, np.float64)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return matrix / np.where(norms == 0, 1, norms)
+
+    def scorer_of(part: list) -> tuple[Callable[[list], np.ndarray], int]:
+        asked = unit([r.vector for r in part])
+        return lambda rows: asked @ unit(rows).T, asked.shape[1]
+
+    rows = (corpus if keep is None else corpus.where(keep)).where("vector is not null").select("id", F.col("vector").alias("x"))
+    return _in_blocks(rows, queries.where("vector is not null").select("query_id", "vector"), k, block, -np.inf, scorer_of)
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
     """The k best of two rankings by reciprocal rank fusion; of equal scores the better
     dense rank comes first, then the better BM25 rank."""

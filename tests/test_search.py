@@ -63,10 +63,24 @@ def test_bm25(spark):
     got = {r.id: r.score for r in retrieval.bm25_ranking(corpus(spark), asked, 10).collect()}
     want = {k: v for k, v in okapi("the parser index parser").items() if v > 0}
     assert got == pytest.approx(want, abs=1e-6)
+    joined = {r.id: r.score for r in retrieval.bm25_scores(corpus(spark), asked).collect()}
+    assert joined == pytest.approx(want, abs=1e-9)
     recent = retrieval.bm25_ranking(corpus(spark), asked, 10, retrieval.scope(year_min=2022)).collect()
     assert [(r.id, r.rank) for r in recent] == [("b", 1)] and recent[0].score == pytest.approx(want["b"], abs=1e-6)
 
 
+def test_bm25_over_blocks_and_batches(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, rng.integers(1, 40)))) for i in range(400)], "id bigint, text string").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(20)], "query_id bigint, text string")
+    scores = retrieval.bm25_scores(docs, asked).withColumn("score", F.round("score", 6))
+    want = {(r.query_id, r.rank): (r.id, r.score) for r in ranking.top_k(scores, 7, [F.col("score").desc(), "id"]).collect()}
+    for block in (2048, 4):
+        got = {(r.query_id, r.rank): (r.id, r.score) for r in retrieval.bm25_ranking(docs, asked, 7, block=block).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+
+
 def test_scope_treats_unknown_years_as_zero(spark):
     ids = lambda keep: {r.id for r in corpus(spark).where(keep).collect()}
     assert ids(retrieval.scope(year_max=2021)) == {"a", "c", "d", "e", "n"} and ids(retrieval.scope("b")) == {"b"} and ids(retrieval.scope("")) == {*DOCS, "n"}
