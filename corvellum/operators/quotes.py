@@ -158,3 +158,17 @@ def render(quote: Column, page: Column, verified: Column, title: Column | None =
 def quoted(answer: Column) -> Column:
     """The passages an answer marks as quotes, trimmed."""
     return F.transform(F.regexp_extract_all(answer, F.lit("(?s)<quote>(.*?)</quote>"), F.lit(1)), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+
+
+def verified_answers(answers: DataFrame, pages: DataFrame) -> DataFrame:
+    """answers(thread_id, paper_id, answer) with every marked quote replaced by the quote and
+    its page, or marked as unverified: (thread_id, answer, n_verified, n_unverified)."""
+    mark = r"(?s)<quote>.*?</quote>"
+    rows = answers.select("thread_id", "paper_id", F.split(F.coalesce("answer", F.lit("")), mark).alias("parts"), quoted(F.coalesce("answer", F.lit(""))).alias("quotes"))
+    asked = rows.select("thread_id", "paper_id", F.posexplode("quotes").alias("n", "quote")).withColumn("quote_id", F.struct("thread_id", "n"))
+    placed = verify_quotes(asked, pages).select("quote_id.thread_id", "quote_id.n", render(F.col("quote"), F.col("page"), F.col("verified")).alias("text"), "verified")
+    per = placed.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("x"), F.count_if("verified").alias("n_verified"), F.count_if(~F.col("verified")).alias("n_unverified"))
+    whole = rows.select("thread_id", "parts").join(per, "thread_id", "left")
+    texts = F.coalesce(F.col("x.text"), F.array().cast("array<string>"))
+    both = F.zip_with("parts", texts, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return whole.select("thread_id", F.array_join(both, "").alias("answer"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"), F.coalesce("n_unverified", F.lit(0)).alias("n_unverified"))

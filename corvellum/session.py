@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8, app: str = "corvellum", memory: str = "8g") -> SparkSession:
@@ -36,3 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(set_to)
     return set_to
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table read from fewer file splits than there are cores, dealt out to all of them.
+
+    For tables that go through Python row by row; the rows stay the same.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table._jdf.rdd().getNumPartitions() < cores else table
