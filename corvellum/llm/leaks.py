@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvellum.llm.codes import U64, Words, slices, sliding_minima
+from corvellum.session import spread
 
 #: Words of a passage that must be found, and words of a shingle.
 WINDOW, SHINGLE = 12, 5
@@ -122,7 +123,8 @@ def golden_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and golden text it holds, with the part of the text that it holds."""
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), golden_items(spark, sf_dir))
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return leaks(documents, golden_items(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvellum.llm.codes import U64, code_points, prefix_hash, seeds, slices
+from corvellum.session import spread
 
 # Letters of Greek and Cyrillic, and the Latin letters of the same shape.
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρυχκ"
@@ -204,7 +205,8 @@ def quote_places(citations: DataFrame, pages: DataFrame) -> DataFrame:
 
 def p4_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page on which a quote is found again, and whether character by character."""
-    return quote_places(spark.read.parquet(f"{sf_dir}/citations.parquet"), spark.read.parquet(f"{sf_dir}/paper_pages.parquet"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/paper_pages.parquet").select("paper_id", "page", "text"))
+    return quote_places(spark.read.parquet(f"{sf_dir}/citations.parquet"), pages)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

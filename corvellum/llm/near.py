@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from corvellum.llm.codes import U64, Words, char_grams, mix64, powers, slices
-from corvellum.session import shared_folder
+from corvellum.session import shared_folder, spread
 
 #: Base of the registers' spacing, rate of the exponential law, and the largest register.
 BASE, RATE, TOP = 1.01, 20.0, 4095
@@ -223,7 +223,7 @@ def library_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = spark.read.parquet(f"{sf_dir}/papers.parquet")
 
     def shaped(df: DataFrame, kind: str, key: Column, text: Column) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), key.alias("key"), text.alias("text"))
+        return spread(df.select(key.alias("key"), text.alias("text"))).select(F.lit(kind).alias("kind"), "key", "text")
 
     return shaped(chunks, "chunk", F.col("chunk_id"), F.col("text")).unionByName(shaped(papers, "title", F.col("paper_id"), F.col("title")))
 

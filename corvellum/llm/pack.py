@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvellum.llm.codes import slices
-from corvellum.session import shared_folder
+from corvellum.session import shared_folder, spread
 
 CAPACITY, BUCKETS = 2048, 128
 #: A public vocabulary of ranks and how it cuts text; both are parameters.
@@ -183,7 +183,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(token_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return pack(token_sizes(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))))
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -233,10 +233,8 @@ def sample_dictionaries(pairs: DataFrame, per_language: int = SAMPLE) -> dict[st
     tokens = texts.select("text", F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
     score = [F.struct(F.size(F.array_intersect("w", F.array(*map(F.lit, words[x])))).alias("n"), F.lit(x).alias("l")) for x in LANGUAGES]
     best = tokens.select("text", F.array_sort(F.array(*score)).alias("s")).where("s[5].n >= 4 and s[4].n <= 1").select("text", F.col("s")[5]["l"].alias("language"))
-    chosen = None
-    for lang in LANGUAGES:
-        some = best.where(F.col("language") == lang).orderBy(F.xxhash64("text"), "text").limit(per_language)
-        chosen = some if chosen is None else chosen.unionByName(some)
+    nth = F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64("text"), "text"))  # cut off before its shuffle
+    chosen = best.withColumn("nth", nth).where(F.col("nth") <= per_language)
     return fit([(r.language, r.text) for r in chosen.collect()])
 
 

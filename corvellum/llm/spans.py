@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvellum.llm.codes import code_points, prefix_hash, seeds, slices, span_hash
-from corvellum.session import shared_folder
+from corvellum.session import shared_folder, spread
 
 #: Characters of a passage, of a gram, and grams in a run: GRAM + RUN - 1 is the passage.
 LEAST, GRAM, RUN = 160, 96, 65
@@ -86,6 +86,9 @@ class SuffixAutomaton:
         return found
 
 
+KINDS = "cls bigint, paper bigint, is_page boolean, seeds array<bigint>"
+
+
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -149,6 +152,7 @@ class SharedSpans:
     """
 
     def __init__(self, records: DataFrame):
+        self._shared: DataFrame | None = None
         shared_folder(records.sparkSession)  # seeds in common and candidate pairs are checkpointed there
         self.records = records.select(
             "rec", F.xxhash64("paper_id").alias("paper"), F.coalesce("is_page", F.lit(False)).alias("is_page"), "text", F.xxhash64("text").alias("cls")
@@ -161,23 +165,31 @@ class SharedSpans:
         both = a.join(b, "seed").where("cls_a < cls_b and paper_a != paper_b and (is_page_a or is_page_b)")
         return both.select("cls_a", "cls_b").distinct()
 
+    def shared(self) -> DataFrame:
+        """(seed, n, cls, paper, is_page) of the seeds that occur in several papers; n: their
+        classes.  Made once and checkpointed."""
+        if self._shared is None:
+            rows = self.records.mapInArrow(_seeded, KINDS).select("cls", "paper", "is_page", F.explode("seeds").alias("seed"))
+            rows = rows.repartition("seed").dropDuplicates(["seed", "cls", "paper", "is_page"])
+            spread = rows.groupBy("seed").agg(F.count("*").alias("n"), F.min("paper").alias("x"), F.max("paper").alias("y"))
+            self._shared = rows.join(spread.where("x != y").select("seed", "n"), "seed").checkpoint()
+        return self._shared
+
+    def passages(self, seeds: DataFrame) -> DataFrame:
+        """(seed, cls, paper, is_page) with the hash of each passage around a seed as seed."""
+        held = seeds.groupBy("cls", "paper", "is_page").agg(F.collect_set("seed").alias("hot"))  # of one text
+        rows = self.records.select("cls", "paper", "is_page", "text").distinct().join(held, ["cls", "paper", "is_page"])
+        return rows.mapInArrow(_passages, KINDS).select("cls", "paper", "is_page", F.explode("seeds").alias("seed")).distinct()
+
     def candidates(self) -> DataFrame:
-        kinds = "cls bigint, paper bigint, is_page boolean, seeds array<bigint>"
-        rows = self.records.mapInArrow(_seeded, kinds).select("cls", "paper", "is_page", F.explode("seeds").alias("seed"))
-        rows = rows.repartition("seed").dropDuplicates(["seed", "cls", "paper", "is_page"])
-        spread = rows.groupBy("seed").agg(F.count("*").alias("n"), F.min("paper").alias("x"), F.max("paper").alias("y"))
-        shared = rows.join(spread.where("x != y").select("seed", "n"), "seed").checkpoint()
-        hot = shared.where(F.col("n") > HOT).groupBy("cls", "paper", "is_page").agg(F.collect_set("seed").alias("hot"))
-        passages = (
-            self.records.select("cls", "paper", "is_page", "text").distinct().join(hot, ["cls", "paper", "is_page"]).mapInArrow(_passages, kinds).select("cls", "paper", "is_page", F.explode("seeds").alias("seed")).distinct()
-        )
-        return self._pairs(shared.where(F.col("n") <= HOT)).unionByName(self._pairs(passages)).distinct().checkpoint()
-
-    def spans(self) -> DataFrame:
-        """(doc, ref, span_start, span_end): maximal spans of a class found in another."""
-        pairs = self.candidates()
-        directed = pairs.select(F.col("cls_a").alias("doc"), F.col("cls_b").alias("ref")).unionByName(pairs.select(F.col("cls_b").alias("doc"), F.col("cls_a").alias("ref")))
-        wanted = directed.select(F.col("doc").alias("cls")).distinct()
+        """Pairs of classes, of different papers, that share a seed; of hot seeds a passage."""
+        warm, hot = self.shared().where(F.col("n") <= HOT), self.shared().where(F.col("n") > HOT)
+        return self._pairs(warm).unionByName(self._pairs(self.passages(hot))).distinct().checkpoint()
+
+    def spans(self, directed: DataFrame) -> DataFrame:
+        """(doc, ref, span_start, span_end) of directed(doc, ref): the maximal spans of the
+        class doc that stand in the class ref."""
+        wanted = directed.select(F.explode(F.array("doc", "ref")).alias("cls")).distinct()
         texts = self.records.select("cls", "text").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
         load = directed.groupBy("ref").agg(F.ceil(F.count("*") / SERVED).alias("shards"))
         shard = F.pmod(F.xxhash64("doc"), F.col("shards")).alias("shard")
@@ -189,20 +201,29 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """(rec_a, rec_b) of all records that share a passage, rec_a < rec_b."""
-        links = self.spans().where("doc < ref").select(F.col("doc").alias("cls_a"), F.col("ref").alias("cls_b")).distinct()
+        links = self.spans(self.candidates().select(F.col("cls_a").alias("doc"), F.col("cls_b").alias("ref"))).select(F.col("doc").alias("cls_a"), F.col("ref").alias("cls_b")).distinct()
         same = self.members.groupBy("cls").agg(F.min("paper").alias("x"), F.max("paper").alias("y")).where("x != y").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
         a, b = (self.members.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cls", "rec", "paper", "is_page"))) for s in "ab")
         both = links.unionByName(same).join(a, "cls_a").join(b, "cls_b").where("rec_a != rec_b and paper_a != paper_b and (is_page_a or is_page_b)")
         return both.select(F.least("rec_a", "rec_b").alias("rec_a"), F.greatest("rec_a", "rec_b").alias("rec_b")).distinct()
 
     def coverage(self) -> DataFrame:
-        """Per record of LEAST characters or more: how much of it pages of other papers hold."""
+        """Per record of LEAST characters or more: how much of it pages of other papers hold.
+
+        Each passage around a shared seed has two pages as its references, of different
+        papers where there are such; one of them is of another paper than the record's, so
+        all of what is shared is found with at most two partners a passage, however many
+        records hold it.
+        """
         size = self.records.groupBy("cls").agg(F.max(F.length("text")).alias("n_chars"))
         whole = size.select(F.col("cls").alias("doc"), F.col("cls").alias("ref"), F.lit(0).alias("span_start"), F.col("n_chars").alias("span_end"))
         homes = self.members.where("is_page").select(F.col("cls").alias("ref"), F.col("paper").alias("home")).distinct()
         # Two papers tell whether another than one's own holds the reference.
         homes = homes.groupBy("ref").agg(F.min("home").alias("x"), F.max("home").alias("y"))
-        held = self.spans().unionByName(whole).join(homes, "ref").join(self.members.withColumnRenamed("cls", "doc"), "doc").where("x != paper or y != paper").select("rec", "doc", "span_start", "span_end").distinct()
+        around = self.passages(self.shared()).checkpoint()
+        two = around.where("is_page").groupBy("seed").agg(F.array(F.min_by("cls", "paper"), F.max_by("cls", "paper")).alias("refs"))
+        directed = around.join(two, "seed").select(F.col("cls").alias("doc"), F.explode("refs").alias("ref")).where("doc != ref").distinct().checkpoint()
+        held = self.spans(directed).unionByName(whole).join(homes, "ref").join(self.members.withColumnRenamed("cls", "doc"), "doc").where("x != paper or y != paper").select("rec", "doc", "span_start", "span_end").distinct()
         before = Window.partitionBy("rec", "doc").orderBy("span_start", "span_end").rowsBetween(Window.unboundedPreceding, -1)
         new = F.greatest(F.lit(0), F.col("span_end") - F.greatest("span_start", F.coalesce(F.max("span_end").over(before), F.lit(0))))
         covered = held.select("rec", "doc", new.alias("new")).groupBy("rec", F.col("doc").alias("cls")).agg(F.sum("new").alias("shared_chars"))
@@ -211,7 +232,7 @@ class SharedSpans:
 
 
 def library_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/paper_pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/paper_pages.parquet").select("paper_id", "page", "text"))
     citations = spark.read.parquet(f"{sf_dir}/citations.parquet")
     return pages.select(F.format_string("page:%s:%d", "paper_id", "page").alias("rec"), "paper_id", F.lit(True).alias("is_page"), "text").unionByName(
         citations.select(F.format_string("cite:%d", "citation_id").alias("rec"), "paper_id", F.lit(False).alias("is_page"), F.col("quote").alias("text"))
