@@ -25,9 +25,9 @@ def read_paper(sections: DataFrame, paper_id: str, section: str | None = None) -
 def contexts(hits: DataFrame) -> DataFrame:
     """(query_id, context): hits(query_id, rank, paper_title, page, text) put together by
     paper, papers in the order of their best hit."""
-    passage = F.concat(F.lit("[p. "), F.col("page").cast("string"), F.lit("] "), F.col("text"))
+    passage = F.concat(F.lit("[page "), F.col("page").cast("string"), F.lit("] "), F.col("text"))
     papers = hits.groupBy("query_id", "paper_title").agg(F.min("rank").alias("best"), F.array_sort(F.collect_list(F.struct("rank", passage.alias("p")))).alias("x"))
-    block = F.concat(F.lit("## "), F.col("paper_title"), F.lit("\n"), F.array_join(F.col("x.p"), "\n"))
+    block = F.concat(F.lit('<paper title="'), F.col("paper_title"), F.lit('">\n'), F.array_join(F.col("x.p"), "\n\n"), F.lit("\n</paper>"))
     rows = papers.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("best", "paper_title", block.alias("b")))).alias("x"))
     return rows.select("query_id", F.array_join(F.col("x.b"), "\n\n").alias("context"))
 

@@ -56,6 +56,12 @@ def document_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_frequencies(corpus: DataFrame) -> DataFrame:
+    """(term, df) of corpus(id, text), one row a text: counted before anything is shuffled."""
+    words = corpus.where("text is not null").select(F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    return words.select(F.explode_outer("words").alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+
+
 def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """(query_id, id, score) of Okapi BM25 for queries(query_id, text), positive scores only.
 
@@ -133,11 +139,13 @@ def bm25_ranking(corpus: DataFrame, queries: DataFrame, k: int, keep: Column | N
     """
     known = corpus.where("text is not null")
     queries = queries.where("text is not null").select("query_id", T.tokens(F.col("text")).alias("words"))
-    frequencies = document_frequencies(postings(corpus)).withColumn("raw", F.log(F.lit(known.count()) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean_weight = frequencies.agg(F.avg("raw")).scalar()
-    asked = queries.select(F.explode("words").alias("term")).distinct()
-    weights = {r.term: r.idf for r in frequencies.join(asked, "term").select("term", F.when(F.col("raw") < 0, EPSILON * mean_weight).otherwise(F.col("raw")).alias("idf")).collect()}
-    mean_size = known.select(F.size(T.tokens(F.col("text"))).alias("n")).agg(F.avg("n")).first()[0]
+    n_docs, mean_size = known.select(F.size(T.tokens(F.col("text"))).alias("n")).agg(F.count("*"), F.avg("n")).first()
+    raw = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    asked = queries.select(F.explode("words").alias("term")).distinct().withColumn("asked", F.lit(True))
+    # The mean is over all terms; only those of the queries, a stated set, come back.
+    frequencies = term_frequencies(known).withColumn("raw", raw).join(asked, "term", "left")
+    mean_weight, told = frequencies.agg(F.avg("raw"), F.collect_list(F.when(F.col("asked"), F.struct("term", "raw")))).first()
+    weights = {r.term: EPSILON * mean_weight if r.raw < 0 else r.raw for r in told}
 
     def scorer_of(part: list) -> tuple[Callable[[list], np.ndarray], int]:
         column = {t: i for i, t in enumerate(sorted({w for r in part for w in r.words if w in weights}))}

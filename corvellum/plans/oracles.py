@@ -109,8 +109,8 @@ SQL: dict[str, str] = {
     "rerank_term_hits": f"""WITH {_bm25(_CORPUS, _ASK, 15)}, m AS (SELECT h.query_id, h.id, h.rank, len(list_intersect({TOKENS.format('ask.text')}, {TOKENS.format('c.text')}))::DOUBLE AS model_score FROM hits h JOIN ask USING (query_id) JOIN c ON c.id = h.id)
         SELECT query_id, id, model_score, row_number() OVER (PARTITION BY query_id ORDER BY model_score DESC, rank)::INT AS place FROM m QUALIFY place <= 8""",
     "first_appearance_dedup": "WITH e AS (SELECT id, unnest(expected_paper_ids) AS paper_id, generate_subscripts(expected_paper_ids, 1) AS i FROM golden) SELECT id AS query_id, paper_id, row_number() OVER (PARTITION BY id ORDER BY min(i))::INT AS rank FROM e GROUP BY id, paper_id",
-    "answer_contexts": f"""WITH {_bm25(_CORPUS, _ASK, 8)}, {_CHUNKS}, h AS (SELECT query_id, rank, coalesce(paper_title, '') AS t, '[p. ' || page || '] ' || kept.text AS p FROM hits JOIN kept ON chunk_id = hits.id),
-        b AS (SELECT query_id, t, min(rank) AS best, '## ' || t || chr(10) || string_agg(p, chr(10) ORDER BY rank) AS b FROM h GROUP BY query_id, t)
+    "answer_contexts": f"""WITH {_bm25(_CORPUS, _ASK, 8)}, {_CHUNKS}, h AS (SELECT query_id, rank, coalesce(paper_title, '') AS t, '[page ' || page || '] ' || kept.text AS p FROM hits JOIN kept ON chunk_id = hits.id),
+        b AS (SELECT query_id, t, min(rank) AS best, '<paper title="' || t || '">' || chr(10) || string_agg(p, chr(10) || chr(10) ORDER BY rank) || chr(10) || '</paper>' AS b FROM h GROUP BY query_id, t)
         SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY best, t) AS context FROM b GROUP BY 1""",
     "quote_exact_verify": f"""WITH {_PAGES}, {_CITED} SELECT citation_id, min(p.page) AS found_page, first(strpos(text, quote) - 1 ORDER BY p.page)::INT AS found_offset FROM cited c JOIN pages p ON p.paper_id = c.paper_id WHERE trim(quote) <> '' AND contains(text, quote) GROUP BY 1""",
     "citation_render": f"""WITH {_CITED} SELECT citation_id, '"' || trim(quote) || '" ' || CASE WHEN coalesce(verified AND page IS NOT NULL, false) THEN '[' || concat_ws(', ', CASE WHEN length(coalesce(title, '')) > 40 THEN rtrim(left(title, 39)) || '…' ELSE coalesce(title, '') END, 'p. ' || page) || ']' ELSE '[unverified]' END AS rendered

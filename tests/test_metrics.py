@@ -94,6 +94,6 @@ def tables_violations(spark, rows):
 
 def test_contexts_and_history(spark):
     hits = spark.createDataFrame([("q", 1, "B", 2, "x"), ("q", 2, "A", 1, "y"), ("q", 3, "B", 5, "z")], "query_id string, rank int, paper_title string, page int, text string")
-    assert corpus.contexts(hits).first().context == "## B\n[p. 2] x\n[p. 5] z\n\n## A\n[p. 1] y"
+    assert corpus.contexts(hits).first().context == '<paper title="B">\n[page 2] x\n\n[page 5] z\n</paper>\n\n<paper title="A">\n[page 1] y\n</paper>'
     turns = spark.createDataFrame([("c", i, "user", f"t{i}") for i in range(9)], "conv_id string, turn int, role string, text string")
     assert corpus.last_turns(turns).first().history == "\n".join(f"user: t{i}" for i in range(3, 9))
