@@ -41,6 +41,18 @@ SQL = {
         s AS (SELECT rec, paper_id, is_page, substring(text, i, 160) AS s FROM (SELECT *, unnest(generate_series(1, length(text) - 159)) AS i FROM r)),
         h AS (SELECT s FROM s GROUP BY s HAVING count(DISTINCT paper_id) > 1)
         SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM s a JOIN h USING (s) JOIN s b USING (s) WHERE a.rec < b.rec AND a.paper_id <> b.paper_id AND (a.is_page OR b.is_page)""",
+    "p3_coverage": """
+        WITH r AS (SELECT DISTINCT 'page:' || paper_id || ':' || page AS rec, paper_id, true AS is_page, text FROM paper_pages WHERE length(text) >= 160
+                   UNION SELECT DISTINCT 'cite:' || citation_id, paper_id, false, quote FROM citations WHERE length(quote) >= 160),
+        s AS (SELECT rec, paper_id, is_page, i, substring(text, i, 160) AS s FROM (SELECT *, unnest(generate_series(1, length(text) - 159)) AS i FROM r)),
+        h AS (SELECT s, min(paper_id) AS x, max(paper_id) AS y FROM s WHERE is_page GROUP BY s),
+        k AS (SELECT rec, i, i - lag(i) OVER (PARTITION BY rec ORDER BY i) AS step FROM s JOIN h USING (s) WHERE x <> paper_id OR y <> paper_id),
+        c AS (SELECT rec, sum(least(160, coalesce(step, 160)))::BIGINT AS n FROM k GROUP BY rec)
+        SELECT rec, length(text)::INT AS n_chars, coalesce(n, 0) AS shared_chars, round(coalesce(n, 0) / length(text), 4) AS shared_share FROM r LEFT JOIN c USING (rec)""",
+    "p4_places": f"""
+        WITH q AS (SELECT DISTINCT citation_id, paper_id, quote, {_form('quote')} AS form FROM citations WHERE trim(regexp_replace(quote, '[\\s\\p{{Z}}\\p{{Cf}}]+', '', 'g')) <> ''),
+        p AS (SELECT DISTINCT paper_id, page, text, {_form('text')} AS form FROM paper_pages)
+        SELECT citation_id, page, bool_or(contains(text, quote)) AS is_exact FROM q JOIN p USING (paper_id) WHERE contains(p.form, q.form) GROUP BY ALL""",
     "p4_found": f"""
         WITH q AS (SELECT DISTINCT citation_id, paper_id, quote, {_form('quote')} AS form FROM citations WHERE trim(regexp_replace(quote, '[\\s\\p{{Z}}\\p{{Cf}}]+', '', 'g')) <> ''),
         p AS (SELECT DISTINCT paper_id, page, text, {_form('text')} AS form FROM paper_pages)
@@ -51,4 +63,9 @@ SQL = {
         d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
         dw AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM d))
         SELECT DISTINCT doc_id, id AS item_id FROM dw JOIN gw USING (s)""",
+    "p7_leaks": f"""
+        WITH g AS (SELECT id, 'question' AS field, {WORDS.format('question')} AS w FROM golden UNION ALL SELECT id, 'ground_truth', {WORDS.format('ground_truth')} FROM golden),
+        gw AS (SELECT DISTINCT id, field, len(w) - 11 AS n, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT *, unnest(generate_series(1, len(w) - 11)) AS i FROM g)),
+        dw AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)))
+        SELECT doc_id, id AS item_id, field, count(*)::INT AS n_windows, max(n)::INT AS item_windows FROM dw JOIN gw USING (s) GROUP BY ALL""",
 }

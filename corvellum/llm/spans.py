@@ -23,7 +23,7 @@ from corvellum.session import shared_folder, spread
 
 #: Characters of a passage, of a gram, and grams in a run: GRAM + RUN - 1 is the passage.
 LEAST, GRAM, RUN = 160, 96, 65
-#: A seed of more texts is not paired itself; the passages of LEAST around it are.
+#: A seed of more texts is not paired itself; see hot_links.
 HOT = 64
 #: Candidates that one automaton serves before another is built elsewhere.
 SERVED = 256
@@ -181,10 +181,35 @@ class SharedSpans:
         rows = self.records.select("cls", "paper", "is_page", "text").distinct().join(held, ["cls", "paper", "is_page"])
         return rows.mapInArrow(_passages, KINDS).select("cls", "paper", "is_page", F.explode("seeds").alias("seed")).distinct()
 
+    @staticmethod
+    def references(passages: DataFrame) -> DataFrame:
+        """(seed, ref): two pages that hold a passage, of different papers if there are such."""
+        two = passages.where("is_page").groupBy("seed").agg(F.array(F.min_by("cls", "paper"), F.max_by("cls", "paper")).alias("refs"))
+        return two.select("seed", F.explode("refs").alias("ref")).distinct()
+
     def candidates(self) -> DataFrame:
-        """Pairs of classes, of different papers, that share a seed; of hot seeds a passage."""
-        warm, hot = self.shared().where(F.col("n") <= HOT), self.shared().where(F.col("n") > HOT)
-        return self._pairs(warm).unionByName(self._pairs(self.passages(hot))).distinct().checkpoint()
+        """Pairs of classes, of different papers, that share a seed that isn't hot."""
+        return self._pairs(self.shared().where(F.col("n") <= HOT)).checkpoint()
+
+    def hot_links(self) -> DataFrame | None:
+        """Linked classes (cls_a, cls_b) that share a passage around a hot seed.
+
+        Who holds a passage is verified against its references and not pair by pair, so the
+        automata see every holder twice, not once for every other holder.
+        """
+        hot = self.shared().where(F.col("n") > HOT)
+        if hot.isEmpty():  # no need to plan for nothing
+            return None
+        around = self.passages(hot).checkpoint()
+        refs = self.references(around)
+        to = around.join(refs, "seed").select("seed", F.col("cls").alias("doc"), "ref")
+        found = self.spans(to.select("doc", "ref").where("doc != ref").distinct().checkpoint()).select("doc", "ref").distinct()
+        sure = to.join(found, ["doc", "ref"], "left_semi").unionByName(to.where("doc = ref").select("doc", "ref", "seed")).select("seed", F.col("doc").alias("cls")).distinct()
+        held = around.join(sure, ["seed", "cls"])
+        # Neighbouring passages have the same holders: one passage of each set of holders is enough.
+        sign = [F.sum(F.xxhash64("cls", "paper", "is_page", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
+        one = held.groupBy("seed").agg(F.count("*").alias("n"), *sign).groupBy("n", "s0", "s1").agg(F.min("seed").alias("seed")).select("seed")
+        return self._pairs(held.join(one, "seed"))
 
     def spans(self, directed: DataFrame) -> DataFrame:
         """(doc, ref, span_start, span_end) of directed(doc, ref): the maximal spans of the
@@ -201,7 +226,10 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """(rec_a, rec_b) of all records that share a passage, rec_a < rec_b."""
-        links = self.spans(self.candidates().select(F.col("cls_a").alias("doc"), F.col("cls_b").alias("ref"))).select(F.col("doc").alias("cls_a"), F.col("ref").alias("cls_b")).distinct()
+        links = self.spans(self.candidates().select(F.col("cls_a").alias("doc"), F.col("cls_b").alias("ref"))).select(F.col("doc").alias("cls_a"), F.col("ref").alias("cls_b"))
+        if (hot := self.hot_links()) is not None:
+            links = links.unionByName(hot)
+        links = links.distinct()
         same = self.members.groupBy("cls").agg(F.min("paper").alias("x"), F.max("paper").alias("y")).where("x != y").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
         a, b = (self.members.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cls", "rec", "paper", "is_page"))) for s in "ab")
         both = links.unionByName(same).join(a, "cls_a").join(b, "cls_b").where("rec_a != rec_b and paper_a != paper_b and (is_page_a or is_page_b)")
@@ -221,8 +249,7 @@ class SharedSpans:
         # Two papers tell whether another than one's own holds the reference.
         homes = homes.groupBy("ref").agg(F.min("home").alias("x"), F.max("home").alias("y"))
         around = self.passages(self.shared()).checkpoint()
-        two = around.where("is_page").groupBy("seed").agg(F.array(F.min_by("cls", "paper"), F.max_by("cls", "paper")).alias("refs"))
-        directed = around.join(two, "seed").select(F.col("cls").alias("doc"), F.explode("refs").alias("ref")).where("doc != ref").distinct().checkpoint()
+        directed = around.join(self.references(around), "seed").select(F.col("cls").alias("doc"), "ref").where("doc != ref").distinct().checkpoint()
         held = self.spans(directed).unionByName(whole).join(homes, "ref").join(self.members.withColumnRenamed("cls", "doc"), "doc").where("x != paper or y != paper").select("rec", "doc", "span_start", "span_end").distinct()
         before = Window.partitionBy("rec", "doc").orderBy("span_start", "span_end").rowsBetween(Window.unboundedPreceding, -1)
         new = F.greatest(F.lit(0), F.col("span_end") - F.greatest("span_start", F.coalesce(F.max("span_end").over(before), F.lit(0))))

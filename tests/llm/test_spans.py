@@ -47,6 +47,14 @@ def test_hot_seeds_are_paired_by_passages(spark):
     assert found == {("page:a:1", "page:b:1")}
 
 
+def test_a_passage_in_very_many_records(spark):
+    n = spans.HOT + 20
+    given = [(f"page:p{i}:1", f"p{i}", True, noise(30) + SHARED + noise(40), "", "") for i in range(n)]
+    given += [("cite:1", "p0", False, SHARED, "", ""), ("cite:2", "z", False, SHARED + "x", "", ""), ("cite:3", "z", False, SHARED[:-1], "", "")]
+    found = {tuple(r) for r in spans.SharedSpans(spark.createDataFrame(given, SCHEMA)).pairs().collect()}
+    assert found == brute([r[:4] for r in given]) and len(found) == n * (n - 1) // 2 + 2 * n - 1
+
+
 def test_coverage(spark):
     out = {r.rec: r for r in spans.SharedSpans(spark.createDataFrame([(*r, "", "") for r in ROWS], SCHEMA)).coverage().collect()}
     assert out["cite:1"].shared_chars == 160 and out["cite:1"].shared_share == 1 and out["page:p:1"].shared_chars == out["page:p:1"].n_chars == 760
