@@ -113,20 +113,22 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame, fuzzy: bool = True) -> Da
     exact, fuzzy or failed.  The first page counts; blank quotes and papers without text fail."""
     quotes = quotes.select("quote_id", "paper_id", F.coalesce("quote", F.lit("")).alias("quote"))
     asked = quotes.select("paper_id", "quote", F.xxhash64("paper_id", "quote").alias("q")).distinct().withColumn("form", T.fold("quote")).where("form != ''")
-    asked = asked.persist(StorageLevel.DISK_ONLY)
-    blocks = page_blocks(pages).persist(StorageLevel.DISK_ONLY)  # folded once
+    spark = quotes.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Folded once, and dealt out by page: what follows multiplies every page's rows.
+    asked = asked.repartition(tasks, "q").persist(StorageLevel.DISK_ONLY)
+    blocks = page_blocks(pages).repartition(tasks, "paper_id", "page").persist(StorageLevel.DISK_ONLY)
     # A quote over a page end has all its inner grams on neither page, so a block's grams
     # are those of its page and of the page with the beginning of the next.
     joined = F.concat_ws(" ", "form", F.array_join(F.slice(F.split("next_form", " "), 1, 80), " "))
-    held = _grams(blocks, joined, EXACT_GRAM).select("paper_id", "page", F.explode_outer("grams").alias("gram")).where("gram is not null")
+    held = _grams(blocks, joined, EXACT_GRAM).select("paper_id", "page", F.explode_outer("grams").alias("gram")).where("gram is not null and page is not null").repartition(tasks, "paper_id", "gram")
     by_words = _grams(asked, F.col("form"), EXACT_GRAM, inner=True)
     wanted = by_words.select("q", "paper_id", F.explode_outer("grams").alias("gram")).where("gram is not null")
-    spread = held.groupBy("paper_id", "gram").agg(F.count("*").alias("n"))
+    spread = held.groupBy("paper_id", "gram").agg(F.count("page").alias("n"))  # of page, so all uses share one exchange
     rarest = wanted.join(spread, ["paper_id", "gram"], "left").groupBy("q", "paper_id").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by("gram", "n").alias("gram"), F.count("*").alias("grams"))
     by_gram = rarest.where("least > 0").select("q", "paper_id", "gram").join(held, ["paper_id", "gram"]).select("q", "paper_id", "page")
     short = by_words.where(F.size("grams") == 0).select("q", "paper_id").join(blocks.select("paper_id", "page"), "paper_id")
     source = blocks.select("paper_id", "page", "text", "form", "next_form")
-    tasks = quotes.sparkSession.sparkContext.defaultParallelism
     schema = "q bigint, page int, char_offset int, score double, match_type string"
 
     def aligned(pairs: DataFrame, best: float) -> DataFrame:
@@ -136,6 +138,7 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame, fuzzy: bool = True) -> Da
     matches = aligned(by_gram.unionByName(short), 100.0)
     found = matches.groupBy("q").agg(F.min(F.struct("page", "char_offset", "score", "match_type")).alias("m"))
     if fuzzy:
+        found = found.persist(StorageLevel.DISK_ONLY)  # for what is left, and for the result
         left = asked.join(found, "q", "left_anti")
         near = _grams(left, F.col("form"), FUZZY_GRAM).select("q", "paper_id", F.explode_outer("grams").alias("gram")).where("gram is not null")
         pairs = _grams(blocks, joined, FUZZY_GRAM).select("paper_id", "page", F.explode_outer("grams").alias("gram")).where("gram is not null").join(near, ["paper_id", "gram"])
