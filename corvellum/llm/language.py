@@ -42,16 +42,16 @@ MARGIN = 0.1
 #: Bytes a word that another language must save to be taken for a sentence.  On labelled
 #: documents true changes of language save 1.5 to 4, chance under 1.
 GAIN = 1.0
-#: A sentence that its document's main dictionary compresses to this share of its bytes, or
-#: less, is of the main language; the other dictionaries aren't asked.  Dictionaries of other
-#: languages leave more than 0.59 on labelled documents.
-CLEAR = 0.56
+#: Code points of a sentence that are told at once, at most; a longer one, such as a list or
+#: a passage without marks, is cut at blanks, as it may change its language inside.
+WINDOW = 240
 #: Share of a document's words that a language must have to be reported.
 SHARE = 0.2
 
 _MARK = re.compile("[̀-ͯ]+")
 #: A sentence is told only if three words of letters stand in a row.
 _TELLING = re.compile(r"(?:[^\W\d_]{2,}[\W\d_]+){2}[^\W\d_]{2,}")
+_PAUSE, _SIGN, _BLANKS = re.compile(r"(?s).*\S(?=\s)"), re.compile(r"(?s).*[\W_]"), re.compile(r"\s*")
 _CUT = re.compile(r"(?<=[.!?…])[\"')\]]*\s+(?=[^\W\d_a-zß-öø-ÿ]|[\"'(\[¿¡])|\n+")
 
 
@@ -91,12 +91,6 @@ class Classifier:
         return out
 
 
-    def sizes_under(self, texts: list[bytes], languages: np.ndarray) -> np.ndarray:
-        """Each text's size under the dictionary of the language given for it."""
-        return np.fromiter((len(self.compressors[k].compress(t)) for t, k in zip(texts, languages)), float, len(texts))
-
-
-
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of the sentences, without the blanks between."""
     spans, at = [], 0
@@ -109,25 +103,36 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def windows(text: str) -> list[tuple[int, int]]:
+    """Spans of the sentences, those over WINDOW cut into parts of about one length: at
+    blanks, else at other signs, and inside a word only if it fills a window."""
+    spans = []
+    for a, b in sentences(text):
+        while b - a > WINDOW:
+            to = a - (a - b) // -(-(b - a) // WINDOW)
+            m = _PAUSE.match(text, a, to + 1) or _SIGN.match(text, a, to)
+            end = m.end() if m else to
+            spans.append((a, end))
+            a = _BLANKS.match(text, end, b).end()
+        if a < b:
+            spans.append((a, b))
+    return spans
+
+
 def classify(c: Classifier, texts: list[str]) -> Iterator[list[tuple[int, int, int, int, float]]]:
     """Segments (start, end, words, language number or -1, confidence) of each text.
 
-    The text's main language is the one that compresses it best as a whole.  A sentence is
-    of another language only if that saves GAIN bytes a word against the main one; narrower
-    choices are rejected.  Sentences without letters enough belong to what stands beside.
+    The text's main language is the one that compresses it best as a whole.  Every sentence,
+    or window of a long one, is compressed with all dictionaries; it is of another language
+    only if that saves GAIN bytes a word against the main one, and narrower choices are
+    rejected.  Sentences without letters enough belong to what stands beside.
     """
-    spans = [sentences(t) for t in texts]
+    spans = [windows(t) for t in texts]
     telling = [np.array([_TELLING.search(t, a, b) is not None for a, b in s], bool) for t, s in zip(texts, spans)]
     clean = [[x.encode() for x in plain("\n".join(t[a:b] for (a, b), ok in zip(s, k) if ok)).split("\n") if x] for t, s, k in zip(texts, spans, telling)]
     whole = c.sizes([b" ".join(x) for x in clean])
     main = whole.argmin(axis=1)
-    owner = np.repeat(np.arange(len(texts)), [len(x) for x in clean])
-    flat = [x for xs in clean for x in xs]
-    mine = c.sizes_under(flat, main[owner])
-    unclear = np.flatnonzero(mine > CLEAR * np.fromiter(map(len, flat), np.int64, len(flat)))
-    # Where the main language leaves no doubt, the others are put by their share of the whole.
-    sizes = mine[:, None] * (whole / whole.min(axis=1, keepdims=True))[owner]
-    sizes[unclear] = c.sizes([flat[i] for i in unclear])
+    sizes = c.sizes([x for xs in clean for x in xs])
     isw = np.zeros(sum(map(len, texts)) + len(texts) + 1, np.int8)
     isw[1:] = word_table()[code_points("\n".join([*texts, ""]))]
     begins = np.flatnonzero(np.diff(isw) == 1)

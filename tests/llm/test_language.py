@@ -46,3 +46,27 @@ def test_empty_table_and_no_labels(spark):
     assert language.segments(spark.createDataFrame([], SCHEMA)).count() == 0
     unlabelled = spark.createDataFrame([(1, None, "Some words of no known language here.", "", "")], SCHEMA)
     assert all(r.confidence <= 0.5 for r in language.segments(unlabelled).collect())
+
+
+def test_long_foreign_runs(spark):
+    """A foreign passage without marks is told whatever its length, in a run of its own or not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.sample(docs)
+    c = language.Classifier(language.fit(rows))
+    bare = {x: " ".join(" ".join("".join(ch if ch.isalpha() else " " for ch in t.lower()).split()) for lang, t in rows if lang == x)[20_000:] for x in ("de", "en")}
+    for n in (300, 1000, 3000, 12_000):
+        en, de = bare["en"][: 2 * n], bare["de"][:n]
+        for mark in (".\n", " "):
+            (got,) = language.classify(c, [en + mark + de])
+            words = {x: sum(r[2] for r in got if r[3] == c.languages.index(x)) for x in ("de", "en")}
+            share = len(de.split()) / len((en + " " + de).split())
+            assert abs(words["de"] / sum(r[2] for r in got) - share) < 0.12, (n, mark, words, share)
+
+
+def test_windows_are_bounded_and_whole():
+    for text in ("a" * 1000, "ab " * 500, "", " ", "x_" * 700, "One. Two three.\n" * 3 + "word " * 100, " " * 600 + "z", "b" + " " * 600 + "z"):
+        spans = language.windows(text)
+        assert all(0 < b - a <= language.WINDOW for a, b in spans)
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+        kept = "".join(text[a:b] for a, b in spans)
+        assert "".join(kept.split()) == "".join("".join(text[a:b] for a, b in language.sentences(text)).split())
