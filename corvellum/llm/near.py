@@ -159,6 +159,28 @@ def _verify(plans: dict[str, Plan]) -> Callable:
     return run
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(cls, root) of every end of edges(cls_a, cls_b), an edge of one end being none: the
+    least end that it is connected with.
+
+    Large and small stars in turn: every end goes to the least neighbour of its lower ones,
+    then to the least of its own.  Rounds grow with the logarithm of the ends, not with the
+    length of a chain; each is checkpointed, and nothing but one row reaches the driver.
+    """
+    lower = edges.where("cls_a != cls_b").select(F.greatest("cls_a", "cls_b").alias("u"), F.least("cls_a", "cls_b").alias("v")).distinct().checkpoint()
+    while True:
+        several = lower.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        if several.unionByName(lower.join(lower.select(F.col("v").alias("u")), "u", "left_semi").select("u")).isEmpty():
+            roots = lower.select(F.col("v").alias("cls"), F.col("v").alias("root")).distinct()
+            return lower.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(roots)
+        both = lower.unionByName(lower.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = lower.join(least, "v").select("u", F.col("m").alias("v")).distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        lower = small.where("u != v").distinct().checkpoint()
+
+
 class NearDuplicates:
     """Groups records(kind, key, text) whose shingle sets reach the plan's threshold.
 
@@ -204,16 +226,25 @@ class NearDuplicates:
         both = links.select("cls_a", "cls_b").unionByName(same).join(a, "cls_a").join(b, "cls_b")
         return both.where("ka != kb").select(F.col("kind").alias("item_kind"), F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 
+    def groups(self, links: DataFrame) -> DataFrame:
+        """(cls, root) of every class that is linked, or shares a key whose texts differ."""
+        keyed = self.members.groupBy("kind", "key").agg(F.min("cls").alias("cls_a"), F.max("cls").alias("cls_b")).where("cls_a != cls_b").select("kind", "key", "cls_a")
+        shared = self.members.join(keyed, ["kind", "key"]).select("cls_a", F.col("cls").alias("cls_b"))
+        return components(links.select("cls_a", "cls_b").unionByName(shared))
+
     def membership(self) -> DataFrame:
-        """One row a record: its class, the class's number of records and of linked classes."""
-        ends = self.links().select(F.explode(F.array("cls_a", "cls_b")).alias("cls"))
+        """One row a record: its class, the class's number of records and of linked classes,
+        and its group.  Records have one group_id exactly if pairs() connects them."""
+        links = self.links().checkpoint()
+        ends = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls"))
         degree = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
         members = self.members.distinct()
         size = members.groupBy("cls").agg(F.count("*").alias("n_copies"))
         return (
             members.join(size, "cls")
             .join(degree, "cls", "left")
-            .select(F.col("kind").alias("item_kind"), F.col("key").alias("item_key"), F.hex("cls").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+            .join(self.groups(links), "cls", "left")
+            .select(F.col("kind").alias("item_kind"), F.col("key").alias("item_key"), F.hex("cls").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.hex(F.coalesce("root", "cls")).alias("group_id"))
         )
 
 
