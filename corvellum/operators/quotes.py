@@ -3,8 +3,9 @@
 Quotes and pages are folded (quotes, dashes, case, compatibility forms, white space), and a
 quote is looked for on its paper's pages and over page ends.  Candidates come from word
 grams of the quote that are rare among the paper's pages; what has no gram long enough is
-compared with the paper's pages directly.  Quotes that stand nowhere are aligned with the
-pages that share words with them; a similarity of 95 or more is a fuzzy match.
+compared with the paper's pages directly.  Quotes that stand nowhere are aligned with all
+pages that hold as many of their pieces as a similarity of 95 must leave whole; a similarity
+of 95 or more is a fuzzy match.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from corvellum.functions import text as T
 
 FUZZY = 95.0
 #: Words of a gram by which pages are looked up.
-EXACT_GRAM, FUZZY_GRAM = 4, 2
+EXACT_GRAM = 4
+#: Characters of the pieces that a fuzzy match must keep.
+PIECE = 5
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
@@ -140,11 +143,16 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame, fuzzy: bool = True) -> Da
     if fuzzy:
         found = found.persist(StorageLevel.DISK_ONLY)  # for what is left, and for the result
         left = asked.join(found, "q", "left_anti")
-        near = _grams(left, F.col("form"), FUZZY_GRAM).select("q", "paper_id", F.explode_outer("grams").alias("gram")).where("gram is not null")
-        pairs = _grams(blocks, joined, FUZZY_GRAM).select("paper_id", "page", F.explode_outer("grams").alias("gram")).where("gram is not null").join(near, ["paper_id", "gram"])
-        # A passage within the threshold keeps at least a quarter of the quote's word pairs.
-        enough = near.groupBy("q").agg(F.count("*").alias("total"))
-        likely = pairs.groupBy("q", "paper_id", "page").agg(F.count("*").alias("n")).join(enough, "q").where(F.col("n") * 4 >= F.col("total")).select("q", "paper_id", "page")
+        # A passage within the threshold differs in `edits` places at most, each of which
+        # spoils as many of the quote's pieces as a piece has characters; the others stand.
+        m = F.length("form")
+        edits = F.floor(m * (1 - FUZZY / 100) * 2 + 1e-6).cast("int")
+        starts = F.when(m >= PIECE, F.sequence(F.lit(1), m - PIECE + 1)).otherwise(F.array().cast("array<int>"))
+        near = left.select("q", "paper_id", F.transform(starts, lambda i: F.substring("form", i, F.lit(PIECE))).alias("pieces"), (m - PIECE + 1 - PIECE * edits).alias("kept"))
+        both = blocks.select("paper_id", "page", F.concat_ws(" ", "form", "next_form").alias("both"))
+        whole = F.size(F.filter("pieces", lambda x: F.contains(F.col("both"), x)))
+        # A page shorter than the quote may itself be the part that is compared.
+        likely = near.join(both, (near.paper_id == both.paper_id) & ((whole >= F.col("kept")) | (F.length("both") < F.size("pieces") + PIECE - 1))).select("q", near.paper_id, "page")
         best = F.max_by(F.struct("page", "char_offset", "score", "match_type"), F.struct("score", -F.col("page"))).alias("m")
         found = found.unionByName(aligned(likely, FUZZY).groupBy("q").agg(best))
     rows = quotes.withColumn("q", F.xxhash64("paper_id", "quote")).join(found, "q", "left")

@@ -58,3 +58,32 @@ def test_rendering(spark):
     assert [r.y for r in df.select(quotes.render(F.col("q"), F.col("p"), F.col("v"), F.col("t")).alias("y")).collect()] == ['"a b" [T, p. 3]', '"a b" [unverified]', '"c" [unverified]']
     answer = spark.createDataFrame([("x <quote> one\ntwo </quote> y <quote>three</quote>",)], "a string")
     assert answer.select(quotes.quoted(F.col("a")).alias("y")).first().y == ["one\ntwo", "three"]
+
+
+def test_fuzzy_quotes_without_whole_word_pairs(spark):
+    """One typo in a few long words leaves no pair of words, but a similarity of 95 or more."""
+    page = "An electroencephalographic characterization of counterintuitive representationalisms was then undertaken in several laboratories of note."
+    asked = [("two", "electroencephalographic charactarization", "fuzzy"), ("three", "characterization of countarintuitive representationalisms", "fuzzy"), ("middle", "electroencephalographic charxcterization of counterintuitive", "fuzzy"), ("single", "electroencephalogrxphic", "fuzzy"), ("far", "elactroencaphalogrxphic charactarization", "failed"), ("word", "photoluminescencespectra", "failed"), ("tiny", "zq", "failed")]
+    quoted = spark.createDataFrame([(k, "p", q) for k, q, _ in asked], "quote_id string, paper_id string, quote string")
+    pages = spark.createDataFrame([("p", 1, "Nothing of the kind stands here."), ("p", 2, page)], "paper_id string, page int, text string")
+    got = {r.quote_id: (r.match_type, r.page) for r in quotes.verify_quotes(quoted, pages).collect()}
+    assert got == {k: (m, 2 if m == "fuzzy" else None) for k, _, m in asked}
+
+
+def test_pages_left_out_hold_no_fuzzy_match(spark):
+    random.seed(5)
+    texts = {n: " ".join("".join(random.choice("abcde") for _ in range(random.randint(1, 9))) for _ in range(80)) for n in range(1, 5)}
+    asked = []
+    for k in range(60):
+        n, at = random.randint(1, 4), random.randrange(250)
+        quote = list(texts[n][at : at + random.randint(20, 90)])
+        for _ in range(random.randint(1, 4)):
+            i = random.randrange(len(quote))
+            quote[i : i + random.choice((0, 1))] = random.choice(("x", "", "yz"))
+        asked.append((str(k), "p", " ".join("".join(quote).split())))
+    quoted = spark.createDataFrame(asked, "quote_id string, paper_id string, quote string")
+    pages = spark.createDataFrame([("p", n, t) for n, t in texts.items()], "paper_id string, page int, text string")
+    got = {r.quote_id: r.verified for r in quotes.verify_quotes(quoted, pages).collect()}
+    sources = [f"{texts[n]} {texts[n + 1]}" if n < 4 else texts[n] for n in texts]
+    want = {k: any(quotes.partial_ratio(q, x)[0] >= quotes.FUZZY for x in sources) for k, _, q in asked}
+    assert got == want and 10 < sum(want.values()) < 60
