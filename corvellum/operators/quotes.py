@@ -123,8 +123,10 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame, fuzzy: bool = True) -> Da
     blocks = page_blocks(pages).repartition(tasks, "paper_id", "page").persist(StorageLevel.DISK_ONLY)
     # A quote over a page end has all its inner grams on neither page, so a block's grams
     # are those of its page and of the page with the beginning of the next.
-    joined = F.concat_ws(" ", "form", F.array_join(F.slice(F.split("next_form", " "), 1, 80), " "))
-    held = _grams(blocks, joined, EXACT_GRAM).select("paper_id", "page", F.explode_outer("grams").alias("gram")).where("gram is not null and page is not null").repartition(tasks, "paper_id", "gram")
+    # Of that, as many words as the paper's longest quote has.
+    longest = asked.groupBy("paper_id").agg(F.max(F.size(F.split("form", " "))).alias("longest"))
+    joined = F.concat_ws(" ", "form", F.array_join(F.slice(F.split("next_form", " "), 1, F.col("longest")), " "))
+    held = _grams(blocks.join(longest, "paper_id"), joined, EXACT_GRAM).select("paper_id", "page", F.explode_outer("grams").alias("gram")).where("gram is not null and page is not null").repartition(tasks, "paper_id", "gram")
     by_words = _grams(asked, F.col("form"), EXACT_GRAM, inner=True)
     wanted = by_words.select("q", "paper_id", F.explode_outer("grams").alias("gram")).where("gram is not null")
     spread = held.groupBy("paper_id", "gram").agg(F.count("page").alias("n"))  # of page, so all uses share one exchange

@@ -87,3 +87,13 @@ def test_pages_left_out_hold_no_fuzzy_match(spark):
     sources = [f"{texts[n]} {texts[n + 1]}" if n < 4 else texts[n] for n in texts]
     want = {k: any(quotes.partial_ratio(q, x)[0] >= quotes.FUZZY for x in sources) for k, _, q in asked}
     assert got == want and 10 < sum(want.values()) < 60
+
+
+def test_long_quote_over_a_page_end(spark):
+    """The rarest gram of a quote may stand over 80 words behind the page end."""
+    common = " ".join(f"word{i}" for i in range(150))
+    texts = [(1, "This page begins in a way of its own and ends so"), (2, f"{common} unseen finish of it all."), *((n, common) for n in (3, 4, 5))]
+    asked = spark.createDataFrame([("q", "p", f"of its own and ends so {common} unseen finish of it")], "quote_id string, paper_id string, quote string")
+    pages = spark.createDataFrame([("p", n, t) for n, t in texts], "paper_id string, page int, text string")
+    r = quotes.verify_quotes(asked, pages).first()
+    assert (r.match_type, r.page) == ("exact", 1)
