@@ -273,10 +273,10 @@ class DefectivePairs:
 
     def main_defect(self) -> DataFrame:
         """The one defect of a pair, the first of DEFECTS it is labelled with; declining is
-        none where it is right, and then nor is anything else about the answer."""
+        none where it is right, and leaves what else is wrong with the answer."""
         rank = F.array_position(F.array(*map(F.lit, DEFECTS)), F.col("defect"))
-        one = self.labels().groupBy("pair_kind", "pair_id").agg(F.min_by("defect", rank).alias("defect"), F.max("declining_is_right").alias("right"))
-        return one.where("not (right and defect = 'refusal')").select("pair_kind", "pair_id", "defect")
+        wrong = self.labels().where("not (declining_is_right and defect = 'refusal')")
+        return wrong.groupBy("pair_kind", "pair_id").agg(F.min_by("defect", rank).alias("defect"))
 
 
 def library_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

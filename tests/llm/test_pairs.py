@@ -36,3 +36,11 @@ def test_label_model_learns_which_function_errs():
     post = pairs.label_model(counts)
     assert post["++0"] > 0.9 and post["+++"] > 0.9 and post["--+"] < 0.1 and post["--0"] < 0.01 and post["000"] < 0.5
     assert pairs.label_model({}) == {}
+
+
+def test_right_refusal_keeps_other_defects(spark):
+    """Where declining is right, only the refusal is none; what else is wrong remains."""
+    rows = [("a", True, "refusal"), ("a", True, "truncated"), ("b", True, "refusal"), ("c", False, "refusal"), ("c", False, "truncated"), ("d", True, "truncated"), ("d", True, "language"), ("d", True, "refusal")]
+    made = object.__new__(pairs.DefectivePairs)
+    made.labels = lambda: spark.createDataFrame([("answer", *r, 0.9) for r in rows], "pair_kind string, pair_id string, declining_is_right boolean, defect string, posterior double")
+    assert {r.pair_id: r.defect for r in made.main_defect().collect()} == {"a": "truncated", "c": "refusal", "d": "language"}
