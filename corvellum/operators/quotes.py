@@ -1,68 +1,272 @@
 """Verification of quotes against the pages of the paper they are said to come from.
 
-Quotes and pages are folded (quotes, dashes, case, compatibility forms, white space), and a
-quote is looked for on its paper's pages and over page ends.  Candidates come from word
-grams of the quote that are rare among the paper's pages; what has no gram long enough is
-compared with the paper's pages directly.  Quotes that stand nowhere are aligned with all
-pages that hold as many of their pieces as a similarity of 95 must leave whole; a similarity
-of 95 or more is a fuzzy match.
+Quotes and pages are folded (quotes, dashes, case, compatibility forms, white space).  A
+paper's source is all its folded pages joined by blanks, so a quote may run over any number of
+page ends.  The source is never put together: a page gets the place where it begins in the
+source, and the text is dealt into cells of one size, whatever the size of pages and papers.
+
+Exact places come from the rarest of a quote's seeds in its paper, verified on the text.  A
+quote that stands nowhere is looked up by pieces of which a similarity of 95 leaves at least
+one whole, and aligned where enough of its pieces stand.  No page, word or pair is capped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from corvellum.functions import text as T
+from corvellum.functions.folding import fold, fold_many
+from corvellum.functions.rolling import U64, mix64, placed_seeds, slices
+from corvellum.session import checkpointed, tasks
 
 FUZZY = 95.0
-#: Words of a gram by which pages are looked up.
-EXACT_GRAM = 4
-#: Characters of the pieces that a fuzzy match must keep.
-PIECE = 5
-
-
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """Pages(paper_id, page, text) with the text of the next one, so that quotes over a page
-    end are found; empty pages don't part their neighbours."""
-    rows = pages.where("text is not null").withColumn("form", T.fold("text")).where("form != ''")
-    over = Window.partitionBy("paper_id").orderBy("page")
-    return rows.withColumn("next_form", F.lead("form").over(over))
-
-
-def _grams(df: DataFrame, form: Column, n: int, inner: bool = False) -> DataFrame:
-    """df with a column grams: hashes of runs of n words of a form; of a quote only inner
-    words, as its first and last may be cut off."""
-    words = F.split(form, " ")
-    if inner:
-        words = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    df = df.withColumn("_w", words)  # a column of its own: lambdas would split once a gram
-    starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
-    # Explode them with explode_outer: explode brings a filter that computes them once more.
-    return df.withColumn("grams", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " "))))).drop("_w")
-
-
-def _verify(best: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                quote, own = r.quote_form, r.form
-                source = f"{own} {r.next_form[: 2 * len(quote)]}" if isinstance(r.next_form, str) else own
-                at, score = source.find(quote), 100.0
-                if at < 0 and best < 100:
-                    score, at = partial_ratio(quote, source)
-                if 0 <= at < len(own) and score >= best:
-                    out.append((r.q, r.page, T.fold_text(r.text)[1][at], score, "exact" if score == 100 and best == 100 else "fuzzy"))
-            yield pd.DataFrame(out, columns=["q", "page", "char_offset", "score", "match_type"])
+#: Characters of a cell, and how many of the next cell's it repeats for seeds over its end.
+CELL, OVER = 2048, 32
+#: Pages whose places are summed up at once.
+PAGES_SUMMED = 1024
+#: Seeds of a quote: characters of a gram, and grams in a run.  Quotes too short for the last
+#: are looked up whole.
+LEVELS = ((16, 16), (8, 5))
+#: Characters of the pieces by which fuzzy matches are looked up, longer ones first.
+PIECES = (8, 5)
+#: Bits of the map of wanted hashes that goes to every task; its size never depends on data.
+MAP_BITS = 25
+
+
+# --- the source as cells ------------------------------------------------------------------
+
+
+def placed_pages(pages: DataFrame) -> DataFrame:
+    """(paper_id, page, form, n, at): pages(paper_id, page, text), one row a page, folded, with
+    the place where each begins in its paper's source; empty pages are left out.
+
+    Places are summed within blocks of pages and then over blocks, so that no task sees all
+    pages of a paper, and no text passes through a window.
+    """
+    forms = pages.where("text is not null and paper_id is not null and page is not null").select("paper_id", "page", fold("text").alias("form")).where("form != ''")
+    forms = checkpointed(forms.withColumn("n", F.length("form")))
+    block = F.floor(F.col("page") / PAGES_SUMMED).alias("block")
+    sizes = forms.select("paper_id", "page", block, (F.col("n") + 1).cast("bigint").alias("room"))
+    before = lambda keys, order, c: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = sizes.withColumn("within", before(["paper_id", "block"], "page", "room"))
+    blocks = sizes.groupBy("paper_id", "block").agg(F.sum("room").alias("room")).select("paper_id", "block", before(["paper_id"], "block", "room").alias("before"))
+    places = within.join(blocks, ["paper_id", "block"]).select("paper_id", "page", (F.col("within") + F.col("before")).alias("at"))
+    return forms.join(places, ["paper_id", "page"])
+
+
+def source_cells(placed: DataFrame) -> DataFrame:
+    """(paper_id, cell, text): the sources in cells of CELL characters, each followed by the
+    first OVER characters of the next."""
+    start, end = F.col("at"), F.col("at") + F.col("n") + 1  # with the blank behind the page
+    first = F.greatest(F.lit(0), F.floor((start - OVER) / CELL))
+    parts = placed.select("paper_id", "at", F.concat("form", F.lit(" ")).alias("form"), F.explode(F.sequence(first, F.floor((end - 1) / CELL))).alias("cell"))
+    low = F.greatest(F.lit(0), F.col("cell") * CELL - F.col("at"))
+    high = F.col("cell") * CELL + CELL + OVER - F.col("at")
+    part = F.substring("form", (low + 1).cast("int"), (high - low).cast("int"))
+    rows = parts.select("paper_id", "cell", F.struct("at", part.alias("part")).alias("x")).where("x.part != ''")
+    # A cell has at most as many parts as characters.
+    return rows.repartition(tasks(placed.sparkSession), "paper_id", "cell").groupBy("paper_id", "cell").agg(F.array_join(F.array_sort(F.collect_list("x")).getField("part"), "").alias("text"))
+
+
+# --- looking hashes up ----------------------------------------------------------------------
+
+
+def wanted_map(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """A map of 2**bits bits in which those of all hashes(h) are set.
+
+    Its words, at most 2**(bits - 6), are made by an aggregate; it only spares tasks rows that
+    nobody asks for, and lets more of them pass the more hashes there are.
+    """
+    slot = F.pmod("h", F.lit(1 << bits))
+    words = hashes.select(F.floor(slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(pmod(h, {1 << bits}), 64) AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = np.zeros(1 << (bits - 6), np.int64)
+    found[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return found
+
+
+def is_wanted(found: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h.astype(U64) & U64(len(found) * 64 - 1)
+    return (found[slot >> U64(6)].view(U64) >> (slot & U64(63))) & U64(1) == 1
+
+
+def _hashed(value: np.ndarray, paper: np.ndarray, gram: int, width: int) -> np.ndarray:
+    return mix64(value ^ paper.view(U64) ^ U64(gram << 56 | width << 48)).view(np.int64)
+
+
+def _in_cells(kinds: list[tuple[int, int]], wanted) -> Callable:
+    """Wanted seeds of cells: (h, at), their places in the source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = wanted.value
+        for batch in batches:
+            texts, paper, cell = batch.column("text").to_pylist(), batch.column("paper").to_numpy(), batch.column("cell").to_numpy()
+            for i, j in slices(texts):
+                for gram, width in kinds:
+                    value, owner, at = placed_seeds(texts[i:j], gram, width)
+                    h = _hashed(value, paper[i + owner], gram, width)
+                    hit = np.flatnonzero(is_wanted(found, h))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(cell[i + owner[hit]] * CELL + at[hit])], ["h", "at"])
 
     return run
 
 
+def _in_quotes(level_of: Callable[[np.ndarray], list[tuple[np.ndarray, int, int, int]]]) -> Callable:
+    """Seeds of quotes: (q, h, start), their places in the quote."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms, paper, q = batch.column("form").to_pylist(), batch.column("paper").to_numpy(), batch.column("q")
+            size = np.fromiter(map(len, forms), np.int64, len(forms))
+            for rows, gram, width, every in level_of(size):
+                if len(rows):
+                    value, owner, start = placed_seeds([forms[i] for i in rows], gram, width)
+                    kept = start % every == 0
+                    value, owner, start = value[kept], rows[owner[kept]], start[kept]
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array(owner)), pa.array(_hashed(value, paper[owner], gram, width)), pa.array(start)], ["q", "h", "start"])
+
+    return run
+
+
+def _exact_levels(size: np.ndarray) -> list[tuple[np.ndarray, int, int, int]]:
+    least = [a + b - 1 for a, b in LEVELS]
+    level = np.select([size >= n for n in least], range(len(LEVELS)), len(LEVELS))
+    found = [(np.flatnonzero(level == k), *LEVELS[k], 1) for k in range(len(LEVELS))]
+    return found + [(np.flatnonzero(size == n), n, 1, 1) for n in range(1, least[-1])]
+
+
+def _edits(size):
+    """Insertions and deletions that a similarity of FUZZY leaves room for."""
+    return (size * (1 - FUZZY / 100) * 2 + 1e-6) // 1
+
+
+def _fuzzy_levels(size: np.ndarray) -> list[tuple[np.ndarray, int, int, int]]:
+    long = size // (_edits(size) + 1) >= PIECES[0]
+    return [(np.flatnonzero(long), PIECES[0], 1, PIECES[0]), (np.flatnonzero(~long), PIECES[1], 1, PIECES[1])]
+
+
+SEEDS = "q bigint, h bigint, start bigint"
+
+
+def _looked_up(seeds: DataFrame, cells: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
+    """(h, at) of the seeds' hashes in the cells."""
+    sent = cells.sparkSession.sparkContext.broadcast(wanted_map(seeds.select("h")))  # of a fixed size
+    return cells.select(F.xxhash64("paper_id").alias("paper"), "cell", "text").mapInArrow(_in_cells(kinds, sent), "h bigint, at bigint")
+
+
+def _windows(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(paper_id, low, high) with the source between as a column window.
+
+    As many cells as the window has, which is in proportion to its quote.
+    """
+    asked = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / CELL), F.floor((F.col("high") - 1) / CELL))))
+    base = F.col("cell") * CELL
+    low, high = F.greatest(F.col("low") - base, F.lit(0)), F.least(F.col("high") - base, F.lit(CELL))
+    part = F.substring("text", (low + 1).cast("int"), (high - low).cast("int"))
+    parts = asked.join(cells, ["paper_id", "cell"]).select("paper_id", "low", "high", *keys, F.struct("cell", part.alias("part")).alias("x"))
+    return parts.groupBy("paper_id", "low", "high", *keys).agg(F.array_join(F.array_sort(F.collect_list("x")).getField("part"), "").alias("window"))
+
+
+# --- exact places ---------------------------------------------------------------------------
+
+
+class QuoteSearch:
+    """Looks quotes(paper_id, quote) up in the sources of pages(paper_id, page, text).
+
+    Defined results: NULL papers and NULL or blank quotes or texts have no place; equal quotes
+    of a paper are searched once; pages have one row each (see tables.latest); other columns
+    are ignored.
+    """
+
+    def __init__(self, quotes: DataFrame, pages: DataFrame):
+        self.pages = pages.select("paper_id", "page", "text")
+        asked = quotes.where("paper_id is not null and quote is not null").select("paper_id", "quote").distinct().repartition(tasks(quotes.sparkSession), "quote")
+        asked = asked.select(F.xxhash64("paper_id", "quote").alias("q"), "paper_id", F.xxhash64("paper_id").alias("paper"), fold("quote").alias("form")).where("form != ''")
+        self.asked = checkpointed(asked.withColumn("m", F.length("form").cast("bigint")))
+        self.placed = placed_pages(pages)
+        self.cells = checkpointed(source_cells(self.placed))
+
+    def exact(self) -> DataFrame:
+        """(q, paper_id, position): every place in the source where a quote stands."""
+        seeds = self.asked.select("q", "paper", "form").mapInArrow(_in_quotes(_exact_levels), SEEDS)
+        short = [r.m for r in self.asked.where(F.col("m") < sum(LEVELS[-1]) - 1).select("m").distinct().collect()]  # a dozen sizes
+        hits = _looked_up(seeds, self.cells, [*LEVELS, *((int(m), 1) for m in sorted(short))])
+        hits = hits.repartition("h").distinct()
+        counts = hits.groupBy("h").agg(F.count("at").alias("n"))  # of at, so both uses share one exchange
+        rarest = seeds.join(counts, "h").groupBy("q").agg(F.min_by(F.struct("h", "start"), F.struct("n", "h", "start")).alias("x")).select("q", "x.*")
+        asked = self.asked.select("q", "paper_id", "m", "form")
+        maybe = rarest.join(hits, "h").select("q", (F.col("at") - F.col("start")).alias("low")).where("low >= 0").join(asked, "q").withColumn("high", F.col("low") + F.col("m"))
+        stands = _windows(maybe.select("q", "paper_id", "low", "high"), self.cells, ["q"]).join(asked.select("q", "form"), "q").where("window = form")
+        return stands.select("q", "paper_id", F.col("low").alias("position"))
+
+    # --- fuzzy places -----------------------------------------------------------------------
+
+    def fuzzy(self, found: DataFrame) -> DataFrame:
+        """(q, paper_id, position, score) of the best alignment, of at least FUZZY, of each
+        quote that isn't found; of equal ones the first."""
+        left = checkpointed(self.asked.join(found.select("q").distinct(), "q", "left_anti"))
+        m = F.col("m")
+        edits = F.floor(m * (1 - FUZZY / 100) * 2 + 1e-6)
+        sizes = self.placed.groupBy("paper_id").agg((F.max(F.col("at") + F.col("n"))).alias("total"))
+        left = left.withColumn("edits", edits).join(sizes, "paper_id")
+        seeds = left.where("edits > 0").select("q", "paper", "form").mapInArrow(_in_quotes(_fuzzy_levels), SEEDS)
+        hits = _looked_up(seeds, self.cells, [(n, 1) for n in PIECES]).repartition("h").distinct()
+        counts = hits.groupBy("h").agg(F.count("at").alias("n"))
+        # Of disjoint pieces one more than there may be edits is enough: the rarest of them.
+        told = seeds.join(counts, "h", "left").join(left.select("q", "edits"), "q").withColumn("n", F.coalesce("n", F.lit(0)))
+        rank = F.row_number().over(Window.partitionBy("q").orderBy("n", "h", "start"))
+        chosen = told.withColumn("rank", rank).where("rank <= edits + 1 and n > 0").select("q", "h", "start", "edits")
+        # Starts that lie close together are one place to align at.
+        step = 2 * F.col("edits") + 2
+        near = chosen.join(hits, "h").select("q", F.floor((F.col("at") - F.col("start")) / step).alias("near")).distinct().join(left, "q")
+        low, high = F.col("near") * step - F.col("edits"), (F.col("near") + 1) * step + F.col("edits") + m
+        placed = near.select("q", "paper_id", F.greatest(low, F.lit(0)).alias("low"), F.least(high, F.col("total")).alias("high"), "total").where("low < high")
+        # A source shorter than the quote is itself what is looked for in the quote.
+        whole = left.where("total < m").select("q", "paper_id", F.lit(0).cast("bigint").alias("low"), F.col("total").alias("high"), "total")
+        at = F.sequence(F.lit(1), F.greatest(m - PIECES[-1] + 1, F.lit(1)), F.lit(PIECES[-1]).cast("bigint"))
+        quotes = left.select("q", "form", F.transform(at, lambda i: F.substring("form", i.cast("int"), F.lit(PIECES[-1]))).alias("pieces"), (F.floor(m / PIECES[-1]) - F.col("edits")).alias("least"), (F.col("total") < m).alias("swapped"))
+        likely = _windows(placed.unionByName(whole).distinct(), self.cells, ["q", "total"]).join(quotes, "q")
+        held = F.size(F.filter("pieces", lambda x: F.contains(F.col("window"), x)))
+        rows = likely.where(F.col("swapped") | (held >= F.col("least"))).select("q", "paper_id", "form", "window", "low", (F.col("low") == 0).alias("opens"), (F.col("high") == F.col("total")).alias("ends"))
+        scored = rows.repartition(tasks(rows.sparkSession), "q", "low").mapInArrow(_aligned, "q bigint, paper_id string, position bigint, score double")
+        best = F.max_by(F.struct("paper_id", "position", "score"), F.struct("score", -F.col("position")))
+        return scored.groupBy("q").agg(best.alias("x")).select("q", "x.*")
+
+    def located(self, found: DataFrame) -> DataFrame:
+        """found(q, paper_id, position, ...) with the page a position of the source lies on and
+        the place in the page's own text; the blank before a page counts as its first place."""
+        span = F.sequence(F.floor(F.greatest(F.col("at") - 1, F.lit(0)) / CELL), F.floor((F.col("at") + F.col("n") - 1) / CELL))
+        spans = self.placed.select("paper_id", "page", "at", "n", F.explode(span).alias("cell"))
+        on = found.withColumn("cell", F.floor(F.col("position") / CELL)).join(spans, ["paper_id", "cell"]).where("position >= at - 1 and position < at + n")
+        local = on.drop("cell", "n").withColumn("local", F.greatest(F.col("position") - F.col("at"), F.lit(0)).cast("int")).drop("at")
+        kinds = ", ".join(f"`{n}` {t}" for n, t in local.dtypes if n != "local")
+        return local.join(self.pages, ["paper_id", "page"]).select(*local.columns, "text").mapInArrow(_placed_back, f"{kinds}, char_offset int")
+
+
+def _placed_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").dictionary_encode()
+        _, places = fold_many(texts.dictionary.to_pylist())
+        at = [int(places[t][k]) for t, k in zip(texts.indices.to_pylist(), batch.column("local").to_pylist())]
+        names = [n for n in batch.schema.names if n not in ("text", "local")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(at, pa.int32())], [*names, "char_offset"])
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for q, paper, form, window, low, opens, ends in zip(*(batch.column(c).to_pylist() for c in ("q", "paper_id", "form", "window", "low", "opens", "ends"))):
+            score, at = partial_ratio(form, window, opens=opens, ends=ends)
+            if score >= FUZZY:
+                out.append((q, paper, low + at, score))
+        columns = zip(*out) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["q", "paper_id", "position", "score"])
+
+
 def _common(a: str, masks: dict[str, int], full: int) -> int:
     """Length of the longest common subsequence of a and the text of the masks, bit-parallel."""
     v = full
@@ -72,28 +276,29 @@ def _common(a: str, masks: dict[str, int], full: int) -> int:
     return (v ^ full).bit_count()
 
 
-def partial_ratio(quote: str, source: str, least: float = FUZZY) -> tuple[float, int]:
+def partial_ratio(quote: str, source: str, least: float = FUZZY, opens: bool = True, ends: bool = True) -> tuple[float, int]:
     """The best similarity (0 to 100) of a quote and a passage of its length, and where the
-    passage begins: twice the longest common subsequence over both lengths.  Similarities
-    below `least` may come out lower."""
+    passage begins: twice the longest common subsequence over both lengths.  Where the source
+    opens or ends, shorter passages count too.  Similarities below `least` may come out lower.
+    A source shorter than the quote is looked for in the quote, and begins at 0."""
     m = len(quote)
     if not m or not source:
         return 0.0, 0
     if len(source) < m:
-        quote, source, m = source, quote, len(source)
+        return partial_ratio(source, quote, least)[0], 0
     masks: dict[str, int] = {}
     for i, c in enumerate(quote):
         masks[c] = masks.get(c, 0) | 1 << i
     full = (1 << m) - 1
 
-    def score(s: int) -> float:
-        window = source[s : s + m]
+    def score(s: int, size: int = m) -> float:
+        window = source[s : s + size]
         return 200.0 * _common(window, masks, full) / (m + len(window))
 
     # A passage within the threshold differs in at most `edits` places, so of one piece more
     # than that at least one is intact; windows are tried where pieces stand, and around the
     # best of them.  Where no piece stands the similarity is below the threshold.
-    edits = int(m * (1 - least / 100) * 2)
+    edits = int(_edits(m))
     size = max(1, m // (edits + 1))
     last = len(source) - m
     starts: set[int] = set()
@@ -108,57 +313,56 @@ def partial_ratio(quote: str, source: str, least: float = FUZZY) -> tuple[float,
     if best >= least - 15:
         around = range(max(0, -where - edits), min(last, -where + edits) + 1)
         best, where = max((score(s), -s) for s in around)
+        for n in range(max(1, m - edits), m):
+            if opens:
+                best, where = max((best, where), (score(0, n), 0))
+            if ends:
+                best, where = max((best, where), (score(len(source) - n, n), n - len(source)))
     return best, -where
 
 
+# --- results --------------------------------------------------------------------------------
+
+
 def verify_quotes(quotes: DataFrame, pages: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """quotes(quote_id, paper_id, quote) with page, char_offset, verified and match_type:
-    exact, fuzzy or failed.  The first page counts; blank quotes and papers without text fail."""
+    """quotes(quote_id, paper_id, quote) with page, char_offset, verified, match_type (exact,
+    fuzzy or failed) and position, the place in the paper's folded source.
+
+    The first place counts; blank quotes and papers without text fail.
+    """
     quotes = quotes.select("quote_id", "paper_id", F.coalesce("quote", F.lit("")).alias("quote"))
-    asked = quotes.select("paper_id", "quote", F.xxhash64("paper_id", "quote").alias("q")).distinct().withColumn("form", T.fold("quote")).where("form != ''")
-    spark = quotes.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Folded once, and dealt out by page: what follows multiplies every page's rows.
-    asked = asked.repartition(tasks, "q").persist(StorageLevel.DISK_ONLY)
-    blocks = page_blocks(pages).repartition(tasks, "paper_id", "page").persist(StorageLevel.DISK_ONLY)
-    # A quote over a page end has all its inner grams on neither page, so a block's grams
-    # are those of its page and of the page with the beginning of the next.
-    # Of that, as many words as the paper's longest quote has.
-    longest = asked.groupBy("paper_id").agg(F.max(F.size(F.split("form", " "))).alias("longest"))
-    joined = F.concat_ws(" ", "form", F.array_join(F.slice(F.split("next_form", " "), 1, F.col("longest")), " "))
-    held = _grams(blocks.join(longest, "paper_id"), joined, EXACT_GRAM).select("paper_id", "page", F.explode_outer("grams").alias("gram")).where("gram is not null and page is not null").repartition(tasks, "paper_id", "gram")
-    by_words = _grams(asked, F.col("form"), EXACT_GRAM, inner=True)
-    wanted = by_words.select("q", "paper_id", F.explode_outer("grams").alias("gram")).where("gram is not null")
-    spread = held.groupBy("paper_id", "gram").agg(F.count("page").alias("n"))  # of page, so all uses share one exchange
-    rarest = wanted.join(spread, ["paper_id", "gram"], "left").groupBy("q", "paper_id").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by("gram", "n").alias("gram"), F.count("*").alias("grams"))
-    by_gram = rarest.where("least > 0").select("q", "paper_id", "gram").join(held, ["paper_id", "gram"]).select("q", "paper_id", "page")
-    short = by_words.where(F.size("grams") == 0).select("q", "paper_id").join(blocks.select("paper_id", "page"), "paper_id")
-    source = blocks.select("paper_id", "page", "text", "form", "next_form")
-    schema = "q bigint, page int, char_offset int, score double, match_type string"
-
-    def aligned(pairs: DataFrame, best: float) -> DataFrame:
-        rows = pairs.distinct().join(asked.select("q", F.col("form").alias("quote_form")), "q").join(source, ["paper_id", "page"])
-        return rows.select("q", "quote_form", "page", "text", "form", "next_form").repartition(tasks, "q", "page").mapInPandas(_verify(best), schema)
-
-    matches = aligned(by_gram.unionByName(short), 100.0)
-    found = matches.groupBy("q").agg(F.min(F.struct("page", "char_offset", "score", "match_type")).alias("m"))
+    search = QuoteSearch(quotes, pages)
+    found = search.exact().groupBy("q", "paper_id").agg(F.min("position").alias("position")).withColumn("match_type", F.lit("exact"))
     if fuzzy:
-        found = found.persist(StorageLevel.DISK_ONLY)  # for what is left, and for the result
-        left = asked.join(found, "q", "left_anti")
-        # A passage within the threshold differs in `edits` places at most, each of which
-        # spoils as many of the quote's pieces as a piece has characters; the others stand.
-        m = F.length("form")
-        edits = F.floor(m * (1 - FUZZY / 100) * 2 + 1e-6).cast("int")
-        starts = F.when(m >= PIECE, F.sequence(F.lit(1), m - PIECE + 1)).otherwise(F.array().cast("array<int>"))
-        near = left.select("q", "paper_id", F.transform(starts, lambda i: F.substring("form", i, F.lit(PIECE))).alias("pieces"), (m - PIECE + 1 - PIECE * edits).alias("kept"))
-        both = blocks.select("paper_id", "page", F.concat_ws(" ", "form", "next_form").alias("both"))
-        whole = F.size(F.filter("pieces", lambda x: F.contains(F.col("both"), x)))
-        # A page shorter than the quote may itself be the part that is compared.
-        likely = near.join(both, (near.paper_id == both.paper_id) & ((whole >= F.col("kept")) | (F.length("both") < F.size("pieces") + PIECE - 1))).select("q", near.paper_id, "page")
-        best = F.max_by(F.struct("page", "char_offset", "score", "match_type"), F.struct("score", -F.col("page"))).alias("m")
-        found = found.unionByName(aligned(likely, FUZZY).groupBy("q").agg(best))
-    rows = quotes.withColumn("q", F.xxhash64("paper_id", "quote")).join(found, "q", "left")
-    return rows.select("quote_id", "paper_id", "quote", F.col("m.page").alias("page"), F.col("m.char_offset").alias("char_offset"), F.col("m").isNotNull().alias("verified"), F.coalesce("m.match_type", F.lit("failed")).alias("match_type"))
+        found = checkpointed(found)  # for what is left, and for the result
+        found = found.unionByName(search.fuzzy(found).select("q", "paper_id", "position", F.lit("fuzzy").alias("match_type")))
+    places = search.located(found).select("q", "page", "char_offset", "position", "match_type")
+    rows = quotes.withColumn("q", F.xxhash64("paper_id", "quote")).join(places, "q", "left")
+    return rows.select("quote_id", "paper_id", "quote", "page", "char_offset", "position", F.col("match_type").isNotNull().alias("verified"), F.coalesce("match_type", F.lit("failed")).alias("match_type"))
+
+
+def exact_places(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(quote_id, page, char_offset): first page on which a quote stands character by character.
+
+    What is equal as it stands is equal when folded, so only the folded matches are asked.
+    """
+    quotes = quotes.select("quote_id", "paper_id", "quote").where("trim(quote) != ''")
+    search = QuoteSearch(quotes, pages)
+    spans = search.placed.select("paper_id", "page", "at", "n", F.explode(F.sequence(F.floor(F.col("at") / CELL), F.floor((F.col("at") + F.col("n") - 1) / CELL))).alias("cell"))
+    on = search.exact().withColumn("cell", F.floor(F.col("position") / CELL)).join(spans, ["paper_id", "cell"]).where("position >= at and position < at + n").select("q", "paper_id", "page").distinct()
+    asked = quotes.select("quote_id", "quote", F.xxhash64("paper_id", "quote").alias("q"))
+    rows = on.join(search.pages, ["paper_id", "page"]).join(asked, "q").where(F.contains("text", "quote"))
+    return rows.groupBy("quote_id").agg(F.min("page").alias("page"), F.min_by(F.expr("instr(text, quote)") - 1, "page").alias("char_offset"))
+
+
+def first_verified(quotes: DataFrame, papers: DataFrame, pages: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """quotes(quote_id, answer_id, quote) verified against an answer's papers(answer_id, rank,
+    paper_id) in their order: the first paper that holds a quote, exactly or nearly, is its
+    source.  (quote_id, paper_id, page, char_offset, match_type), NULLs and failed if none is."""
+    asked = quotes.join(papers.select("answer_id", "rank", "paper_id"), "answer_id").select(F.struct("quote_id", "rank").alias("quote_id"), "paper_id", "quote")
+    held = verify_quotes(asked, pages, fuzzy).where("verified").select("quote_id.*", "paper_id", "page", "char_offset", "match_type")
+    first = held.groupBy("quote_id").agg(F.min_by(F.struct("paper_id", "page", "char_offset", "match_type"), F.struct("rank", "paper_id")).alias("x")).select("quote_id", "x.*")
+    return quotes.select("quote_id").distinct().join(first, "quote_id", "left").withColumn("match_type", F.coalesce("match_type", F.lit("failed")))
 
 
 def render(quote: Column, page: Column, verified: Column, title: Column | None = None) -> Column:
@@ -170,18 +374,30 @@ def render(quote: Column, page: Column, verified: Column, title: Column | None =
 
 def quoted(answer: Column) -> Column:
     """The passages an answer marks as quotes, trimmed."""
-    return F.transform(F.regexp_extract_all(answer, F.lit("(?s)<quote>(.*?)</quote>"), F.lit(1)), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.transform(F.regexp_extract_all(answer, F.lit("(?s)<quote>(.*?)</quote>"), F.lit(1)), T.strip)
+
 
+def verified_answers(answers: DataFrame, papers: DataFrame, pages: DataFrame) -> DataFrame:
+    """answers(thread_id, answer) with every marked quote replaced by the quote and its page, or
+    marked as unverified, looked for in the papers(thread_id, rank, paper_id[, title]) of the
+    answer in their order: (thread_id, answer, n_verified, n_unverified).
 
-def verified_answers(answers: DataFrame, pages: DataFrame) -> DataFrame:
-    """answers(thread_id, paper_id, answer) with every marked quote replaced by the quote and
-    its page, or marked as unverified: (thread_id, answer, n_verified, n_unverified)."""
+    With titles the place names the paper.
+    """
+    titled = "title" in papers.columns
     mark = r"(?s)<quote>.*?</quote>"
-    rows = answers.select("thread_id", "paper_id", F.split(F.coalesce("answer", F.lit("")), mark).alias("parts"), quoted(F.coalesce("answer", F.lit(""))).alias("quotes"))
-    asked = rows.select("thread_id", "paper_id", F.posexplode("quotes").alias("n", "quote")).withColumn("quote_id", F.struct("thread_id", "n"))
-    placed = verify_quotes(asked, pages).select("quote_id.thread_id", "quote_id.n", render(F.col("quote"), F.col("page"), F.col("verified")).alias("text"), "verified")
-    per = placed.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("x"), F.count_if("verified").alias("n_verified"), F.count_if(~F.col("verified")).alias("n_unverified"))
+    answer = F.coalesce("answer", F.lit(""))
+    rows = answers.select("thread_id", F.split(answer, mark).alias("parts"), quoted(answer).alias("quotes"))
+    asked = rows.select("thread_id", F.posexplode("quotes").alias("n", "quote")).withColumn("quote_id", F.struct("thread_id", "n"))
+    ranked = papers.select(F.col("thread_id").alias("answer_id"), "rank", "paper_id")
+    placed = asked.join(first_verified(asked.withColumnRenamed("thread_id", "answer_id"), ranked, pages), "quote_id")
+    title = None
+    if titled:
+        placed = placed.join(papers.select("thread_id", "paper_id", F.coalesce("title", F.lit("")).alias("title")), ["thread_id", "paper_id"], "left")
+        title = F.col("title")
+    verified = F.col("match_type") != "failed"
+    texts = placed.select("thread_id", "n", render(F.col("quote"), F.col("page"), verified, title).alias("text"), verified.alias("verified"))
+    per = texts.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("x"), F.count_if("verified").alias("n_verified"), F.count_if(~F.col("verified")).alias("n_unverified"))
     whole = rows.select("thread_id", "parts").join(per, "thread_id", "left")
-    texts = F.coalesce(F.col("x.text"), F.array().cast("array<string>"))
-    both = F.zip_with("parts", texts, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    both = F.zip_with("parts", F.coalesce(F.col("x.text"), F.array().cast("array<string>")), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return whole.select("thread_id", F.array_join(both, "").alias("answer"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"), F.coalesce("n_unverified", F.lit(0)).alias("n_unverified"))

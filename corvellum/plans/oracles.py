@@ -12,6 +12,21 @@ _CITED = "cited AS (SELECT * FROM citations QUALIFY row_number() OVER (PARTITION
 _RUNS = "runs AS (SELECT * FROM route_rows QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY logged_at DESC) = 1)"
 
 
+# Characters of other widths, ligatures and typographic signs as quotes fold them, written here
+# a second time so that the check doesn't share the operator's table.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_SIGNS, _SIGNS_AS = "‘’‚′“”„″‒–—−", "''''''''\"\"\"\"----"
+_LONGER = {"…": "...", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ß": "ss", "½": "1⁄2", "²": "2", "³": "3", "¹": "1", "µ": "μ", "º": "o", "ª": "a", "ς": "σ"}
+
+
+def _folded(text: str) -> str:
+    form = f"lower(translate({text}, '{_WIDE}{_SIGNS}', '{_NARROW}{_SIGNS_AS}'))"
+    for a, b in _LONGER.items():
+        form = f"replace({form}, '{a}', '{b}')"
+    return f"trim(regexp_replace({form}, '{BLANKS}', ' ', 'g'))"
+
+
 def _text(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -24,8 +39,12 @@ lines AS (SELECT *, length(line) <= 80 AND ({_HEADER}) AS is_header FROM lines0
 _SECTIONED = f"""{_LINES},
 placed AS (SELECT *, coalesce(last_value(CASE WHEN is_header THEN line END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING), '') AS section FROM lines)"""
 _UNITS = rf"""{_SECTIONED},
-parts AS (SELECT paper_id, page, line_no, section, string_split(regexp_replace(line, '([.!?])\s+([A-Z(\[\d"''])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM placed WHERE NOT is_header),
+parts AS (SELECT paper_id, page, line_no, section, string_split(regexp_replace(line, '([.!?]){BLANKS}([A-Z(\[\d"''])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM placed WHERE NOT is_header),
 units AS (SELECT * FROM (SELECT paper_id, page, line_no, section, trim(unnest(s)) AS sentence, generate_subscripts(s, 1) AS sentence_no FROM parts) WHERE sentence <> '')"""
+_SOURCES = f"""{_PAGES}, {_CITED},
+forms AS (SELECT paper_id, page, {_folded('text')} AS form FROM pages WHERE text IS NOT NULL),
+starts AS (SELECT *, coalesce(sum(length(form) + 1) OVER (PARTITION BY paper_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM forms WHERE form <> ''),
+sources AS (SELECT paper_id, string_agg(form, ' ' ORDER BY page) AS source FROM starts GROUP BY 1)"""
 _WINDOWS = f"""{_PAGES},
 flat AS (SELECT paper_id, page, trim(regexp_replace(text, '{BLANKS}', ' ', 'g')) AS flat FROM pages),
 windows AS (SELECT * FROM (SELECT paper_id, page, w::INT AS window_no, trim(substring(flat, w * 800 + 1, 1000)) AS text FROM (SELECT *, unnest(generate_series(0, greatest(0, ceil((length(flat) - 1000) / 800.0))::BIGINT)) AS w FROM flat WHERE flat <> '')) WHERE text <> '')"""
@@ -113,6 +132,14 @@ SQL: dict[str, str] = {
         b AS (SELECT query_id, t, min(rank) AS best, '<paper title="' || t || '">' || chr(10) || string_agg(p, chr(10) || chr(10) ORDER BY rank) || chr(10) || '</paper>' AS b FROM h GROUP BY query_id, t)
         SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY best, t) AS context FROM b GROUP BY 1""",
     "quote_exact_verify": f"""WITH {_PAGES}, {_CITED} SELECT citation_id, min(p.page) AS found_page, first(strpos(text, quote) - 1 ORDER BY p.page)::INT AS found_offset FROM cited c JOIN pages p ON p.paper_id = c.paper_id WHERE trim(quote) <> '' AND contains(text, quote) GROUP BY 1""",
+    "quote_verify": f"""WITH {_SOURCES}, q AS (SELECT citation_id, paper_id, {_folded('quote')} AS form FROM cited),
+        f AS (SELECT citation_id, q.paper_id, CASE WHEN form <> '' AND strpos(source, form) > 0 THEN strpos(source, form) - 1 END AS position FROM q LEFT JOIN sources USING (paper_id))
+        SELECT citation_id, position IS NOT NULL AS verified, (SELECT max(page) FROM starts s WHERE s.paper_id = f.paper_id AND s.at <= f.position) AS page, position FROM f""",
+    "first_paper_quotes": f"""WITH {_SOURCES}, asked AS (SELECT citation_id, thread_id, {_folded('quote')} AS form FROM cited WHERE thread_id IS NOT NULL),
+        ranked AS (SELECT thread_id, paper_id, min(citation_id) AS rank FROM cited WHERE thread_id IS NOT NULL GROUP BY ALL),
+        tried AS (SELECT citation_id, rank, paper_id, strpos(source, form) - 1 AS position FROM asked JOIN ranked USING (thread_id) JOIN sources USING (paper_id) WHERE form <> '' AND contains(source, form)),
+        won AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY citation_id ORDER BY rank) = 1)
+        SELECT a.citation_id, w.paper_id, (SELECT max(page) FROM starts s WHERE s.paper_id = w.paper_id AND s.at <= w.position) AS page, CASE WHEN w.paper_id IS NULL THEN 'failed' ELSE 'exact' END AS match_type FROM asked a LEFT JOIN won w USING (citation_id)""",
     "citation_render": f"""WITH {_CITED} SELECT citation_id, '"' || trim(quote) || '" ' || CASE WHEN coalesce(verified AND page IS NOT NULL, false) THEN '[' || concat_ws(', ', CASE WHEN length(coalesce(title, '')) > 40 THEN rtrim(left(title, 39)) || '…' ELSE coalesce(title, '') END, 'p. ' || page) || ']' ELSE '[unverified]' END AS rendered
         FROM cited LEFT JOIN papers USING (paper_id) WHERE trim(quote) <> ''""",
     "match_types": f"WITH {_CITED} SELECT match_type, count(*) AS n, count(*) FILTER (WHERE verified) AS n_verified, count(page) AS n_placed FROM cited GROUP BY 1",

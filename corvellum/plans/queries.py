@@ -231,21 +231,34 @@ def answer_contexts(spark: SparkSession, d: str) -> DataFrame:
 # --- quotes -----------------------------------------------------------------------------
 
 
-def _verified(spark: SparkSession, d: str, fuzzy: bool) -> DataFrame:
-    asked = citations(spark, d).select(F.col("citation_id").alias("quote_id"), "paper_id", "quote")
-    return quotes.verify_quotes(asked, pages(spark, d), fuzzy)
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return citations(spark, d).select(F.col("citation_id").alias("quote_id"), "paper_id", "quote")
 
 
 def quote_exact_verify(spark: SparkSession, d: str) -> DataFrame:
     """First page on which each quote stands as it is; folded or over a page end it may
     also stand, which quote_verify tells."""
-    asked = citations(spark, d).where("trim(quote) != ''").select("citation_id", "paper_id", "quote")
-    rows = asked.join(pages(spark, d).select("paper_id", F.col("page").alias("found_page"), "text"), "paper_id").where(F.contains("text", "quote"))
-    return rows.groupBy("citation_id").agg(F.min("found_page").alias("found_page"), F.min_by(F.expr("instr(text, quote)") - 1, "found_page").alias("found_offset"))
+    rows = quotes.exact_places(_asked(spark, d), pages(spark, d))
+    return rows.select(F.col("quote_id").alias("citation_id"), F.col("page").alias("found_page"), F.col("char_offset").alias("found_offset"))
 
 
 def quote_verify(spark: SparkSession, d: str) -> DataFrame:
-    return _verified(spark, d, True).drop("quote")
+    """Whether each quote stands in its paper's folded source, and where first."""
+    rows = quotes.verify_quotes(_asked(spark, d), pages(spark, d), fuzzy=False)
+    return rows.select(F.col("quote_id").alias("citation_id"), "verified", "page", "position")
+
+
+def quote_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """Exact and fuzzy matches with page and offset; the alignment is tested by brute force."""
+    return quotes.verify_quotes(_asked(spark, d), pages(spark, d)).drop("quote")
+
+
+def first_paper_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes tried on all papers that their answer cites, in the order of citation."""
+    cited = citations(spark, d).where("thread_id is not null")
+    papers = cited.groupBy(F.col("thread_id").alias("answer_id"), "paper_id").agg(F.min("citation_id").alias("rank"))
+    asked = cited.select(F.col("citation_id").alias("quote_id"), F.col("thread_id").alias("answer_id"), "quote")
+    return quotes.first_verified(asked, papers, pages(spark, d), fuzzy=False).select(F.col("quote_id").alias("citation_id"), "paper_id", "page", "match_type")
 
 
 def citation_render(spark: SparkSession, d: str) -> DataFrame:
@@ -382,7 +395,7 @@ def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
 ALL = (
     token_df, block_normalize, sentence_units, section_carry_forward, section_text, fixed_windows, chunk_pack, math_score, token_estimate, repeated_lines, page_full_text, year_detect, content_hash_id,
     locate_candidates, multi_part_gate, short_titles, renumbered_questions, paper_inventory, distinct_papers, upsert_merge, cache_misses, index_lookup, bm25_topk, bm25_recent, dense_topk_cosine, hybrid_rrf,
-    rrf_fuse, interleave_facets, per_paper_cap, rerank_term_hits, first_appearance_dedup, answer_contexts, quote_exact_verify, quote_verify, citation_render, match_types, recall_at_k, metric_aggregate,
+    rrf_fuse, interleave_facets, per_paper_cap, rerank_term_hits, first_appearance_dedup, answer_contexts, quote_exact_verify, quote_verify, quote_fuzzy, first_paper_quotes, citation_render, match_types, recall_at_k, metric_aggregate,
     golden_violation, category_counts, route_accuracy, confusion_dense, per_class_scores, misroutes, rewrite_metrics, within_question_delta, fired_despite_good, grounding_summary, refusal_correctness,
     refusal_disagreements, cost_latency_grouping_sets, stratified_sample, grade_split, history_last_n, event_latency, event_sessions, event_windows_stream, revenue_by_nation, pricing_summary,
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "corvellum", m
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a partition a core
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -27,10 +29,13 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "corvellum", m
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made.
+    Where that is unset a temporary folder is made on one machine, as in tests; on a cluster,
+    whose nodes don't see each other's folders, it is an error.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_to = os.path.join(tempfile.gettempdir(), f"corvellum-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", set_to)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -38,6 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
     return set_to
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run, within the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(table: DataFrame) -> DataFrame:
+    """The table with its lineage cut by a file in the shared folder."""
+    shared_folder(table.sparkSession)
+    return table.checkpoint()
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks of a stage that works long on little data, which adaptive execution would merge."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table read from fewer file splits than there are cores, dealt out to all of them.
 

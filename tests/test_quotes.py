@@ -41,7 +41,9 @@ def test_alignment_equals_all_windows():
         for i, c in enumerate(quote):
             masks[c] = masks.get(c, 0) | 1 << i
         full = (1 << len(quote)) - 1
-        best = max((200 * quotes._common(text[i : i + len(quote)], masks, full) / (2 * len(quote)), -i) for i in range(len(text) - len(quote) + 1))
+        m = len(quote)
+        parts = [*((i, text[i : i + m]) for i in range(len(text) - m + 1)), *((0, text[:n]) for n in range(1, m)), *((len(text) - n, text[-n:]) for n in range(1, m))]
+        best = max((200 * quotes._common(x, masks, full) / (m + len(x)), -i) for i, x in parts)
         score, place = quotes.partial_ratio(quote, text)
         if best[0] >= quotes.FUZZY:
             seen += 1
@@ -84,11 +86,56 @@ def test_pages_left_out_hold_no_fuzzy_match(spark):
     quoted = spark.createDataFrame(asked, "quote_id string, paper_id string, quote string")
     pages = spark.createDataFrame([("p", n, t) for n, t in texts.items()], "paper_id string, page int, text string")
     got = {r.quote_id: r.verified for r in quotes.verify_quotes(quoted, pages).collect()}
-    sources = [f"{texts[n]} {texts[n + 1]}" if n < 4 else texts[n] for n in texts]
-    want = {k: any(quotes.partial_ratio(q, x)[0] >= quotes.FUZZY for x in sources) for k, _, q in asked}
+    source = " ".join(texts.values())
+    want = {k: quotes.partial_ratio(q, source)[0] >= quotes.FUZZY for k, _, q in asked}
     assert got == want and 10 < sum(want.values()) < 60
 
 
+def test_quotes_over_many_pages_and_cells(spark):
+    """Pages shorter and longer than a cell; quotes over three pages and over several cells."""
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefghijklm") for _ in range(random.randint(1, 8)))
+    texts = {n: "  ".join(word() for _ in range(size)) for n, size in enumerate((3, 2, 1, 900, 2, 1500, 4, 4), 1)}
+    source = " ".join(" ".join(t.split()) for t in texts.values())
+    firsts, at = {}, 0
+    for n, t in texts.items():
+        firsts[n], at = at, at + len(" ".join(t.split())) + 1
+    asked, want = [], {}
+    for k, (a, size) in enumerate([(0, 12), (0, 40), (3, 5), (len(source) - 60, 60), *((random.randrange(len(source) - 5000), random.choice((3, 9, 20, 60, 2500, 4900))) for _ in range(40))]):
+        q = source[a : a + size].strip()
+        asked.append((str(k), "p", q))
+        place = source.find(q)
+        want[str(k)] = (place, max(n for n in texts if firsts[n] <= place), "exact")
+    quoted = spark.createDataFrame(asked, "quote_id string, paper_id string, quote string")
+    pages = spark.createDataFrame([*(("p", n, t) for n, t in texts.items()), ("p", 99, " "), ("p", 98, None)], "paper_id string, page int, text string")
+    got = {r.quote_id: r for r in quotes.verify_quotes(quoted, pages).collect()}
+    assert {k: (r.position, r.page, r.match_type) for k, r in got.items()} == want
+    for k, r in got.items():
+        begins = "".join(texts[r.page][r.char_offset :].split())[:3]
+        assert "".join(asked[int(k)][2].split()).startswith(begins)
+
+
+def test_a_source_shorter_than_the_quote(spark):
+    quoted = spark.createDataFrame([("a", "p", "and then the little page was turned over by the reader"), ("b", "p", "nothing alike in these words at all")], "quote_id string, paper_id string, quote string")
+    pages = spark.createDataFrame([("p", 4, "The  Little Page")], "paper_id string, page int, text string")
+    got = {r.quote_id: (r.match_type, r.page, r.char_offset) for r in quotes.verify_quotes(quoted, pages).collect()}
+    assert got == {"a": ("fuzzy", 4, 0), "b": ("failed", None, None)}
+
+
+def test_first_paper_in_order_wins(spark):
+    pages = spark.createDataFrame([("p", 1, "the gap closes when the budget is large"), ("r", 2, "we see that the gap closes when the budget is largo"), ("s", 3, "the gap closes when the budget is large")], "paper_id string, page int, text string")
+    papers = spark.createDataFrame([("x", 1, "q"), ("x", 2, "r"), ("x", 3, "p"), ("y", 1, "s"), ("y", 2, "p"), ("z", 1, "q")], "answer_id string, rank int, paper_id string")
+    asked = spark.createDataFrame([(k, k, "the gap closes when the budget is large") for k in "xyzw"], "quote_id string, answer_id string, quote string")
+    got = {r.quote_id: (r.paper_id, r.page, r.match_type) for r in quotes.first_verified(asked, papers, pages).collect()}
+    assert got == {"x": ("r", 2, "fuzzy"), "y": ("s", 3, "exact"), "z": (None, None, "failed"), "w": (None, None, "failed")}
+
+
+def test_exact_places_are_unfolded(spark):
+    pages = spark.createDataFrame([("p", 1, "The Gap closes."), ("p", 2, "so the gap closes. the gap closes.")], "paper_id string, page int, text string")
+    asked = spark.createDataFrame([(1, "p", "the gap closes"), (2, "p", "THE GAP"), (3, "p", " "), (4, "p", None)], "quote_id int, paper_id string, quote string")
+    assert [(r.quote_id, r.page, r.char_offset) for r in quotes.exact_places(asked, pages).collect()] == [(1, 2, 3)]
+
+
 def test_long_quote_over_a_page_end(spark):
     """The rarest gram of a quote may stand over 80 words behind the page end."""
     common = " ".join(f"word{i}" for i in range(150))

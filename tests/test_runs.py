@@ -45,7 +45,8 @@ def test_decoding_and_guards(spark):
 
 def test_verified_answers(spark):
     pages = spark.createDataFrame([("p", 1, "The gap closes when the budget is large enough for all of them.")], "paper_id string, page int, text string")
-    answers = spark.createDataFrame([("t", "p", "So <quote>the gap closes when the budget is large</quote> and <quote>nothing of this stands there at all</quote>."), ("u", "p", "No quotes."), ("v", "p", None)], "thread_id string, paper_id string, answer string")
-    got = {r.thread_id: r for r in quotes.verified_answers(answers, pages).collect()}
+    papers = spark.createDataFrame([(t, 1, "p") for t in "tuv"], "thread_id string, rank int, paper_id string")
+    answers = spark.createDataFrame([("t", "So <quote>the gap closes when the budget is large</quote> and <quote>nothing of this stands there at all</quote>."), ("u", "No quotes."), ("v", None)], "thread_id string, answer string")
+    got = {r.thread_id: r for r in quotes.verified_answers(answers, papers, pages).collect()}
     assert got["t"].answer == 'So "the gap closes when the budget is large" [p. 1] and "nothing of this stands there at all" [unverified].' and (got["t"].n_verified, got["t"].n_unverified) == (1, 1)
     assert got["u"].answer == "No quotes." and got["v"].answer == ""
