@@ -59,6 +59,14 @@ def full_texts(pages: DataFrame) -> DataFrame:
     return rows.select("paper_id", full.alias("full_text"), T.token_estimate(full).alias("n_tokens"))
 
 
+def locate(quote: Column, text: Column) -> Column:
+    """Where on a page the first of a quote's candidates stands that stands there at all, case
+    aside: struct(start, chars), NULL if none does."""
+    found = F.filter(T.locate_candidates(quote), lambda c: F.contains(F.lower(text), F.lower(c)))
+    return F.when(F.size(found) > 0, F.struct((F.instr(F.lower(text), F.lower(found[0])) - 1).alias("start"), F.length(found[0]).alias("chars")))
+
+
+# Fixed value: the header of what was read from a page's image.
 def with_transcriptions(pages: DataFrame, transcriptions: DataFrame, header: str = "[TRANSCRIBED EQUATIONS (from page image)]") -> DataFrame:
     """Pages with what was transcribed from their image appended, where there is anything."""
     rows = pages.join(transcriptions.select("paper_id", "page", F.trim("transcription").alias("extra")), ["paper_id", "page"], "left")

@@ -48,10 +48,12 @@ def per_question(rows: DataFrame) -> DataFrame:
 
 
 def retrieval_summary(questions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Means over the answerable questions; 0 if there are none."""
+    """Means over the answerable questions, 0 if there are none; with a column refused, the
+    share of the unanswerable ones that were declined, of those where that is told."""
     known = F.col("is_unanswerable") == F.lit(False)
     means = [F.coalesce(r(F.avg(F.when(known, F.col(c)))), F.lit(0.0)).alias(n) for c, n in [*((f"recall_at_{k}", f"recall_at_{k}") for k in CUTS), ("rr", "mrr")]]
-    return questions.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(known).alias("n_answerable"), *means)
+    declined = [r(F.avg(F.when(~known, F.col("refused").cast("int")))).alias("refusal_rate")] if "refused" in questions.columns else []
+    return questions.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(known).alias("n_answerable"), *means, *declined)
 
 
 def route_accuracy(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -157,25 +159,56 @@ def latency_and_cost(rows: DataFrame) -> DataFrame:
 
 
 def kept_after_grading(grades: DataFrame) -> DataFrame:
-    """A passage is kept if it is relevant or on topic; only on topic is partial."""
+    """A passage is kept if it is relevant or on topic; only on topic is partial.  A grade that
+    says nothing is a rejection, but a passage without a grade (is_graded false) is kept."""
     relevant = F.coalesce("relevant", F.lit(False))
     topic = F.coalesce("on_topic", relevant)
-    return grades.withColumn("kept", relevant | topic).withColumn("partial", ~relevant & topic)
+    missing = ~F.coalesce(F.col("is_graded"), F.lit(True)) if "is_graded" in grades.columns else F.lit(False)
+    return grades.withColumn("kept", relevant | topic | missing).withColumn("partial", ~relevant & topic)
+
+
+def grade_passages(passages: DataFrame, grades: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """passages with the grades of their keys, and whether they are kept."""
+    rows = passages.join(grades.withColumn("is_graded", F.lit(True)), list(keys), "left")
+    return kept_after_grading(rows.withColumn("is_graded", F.coalesce("is_graded", F.lit(False))))
+
+
+def grade_rollup(graded: DataFrame, by: Sequence[str], price_in: float, price_out: float) -> DataFrame:
+    """Passages graded, kept and partial, tokens and their cost, at given prices a million."""
+    rows = graded.groupBy(*by).agg(F.count("*").alias("n_graded"), F.count_if("kept").alias("n_kept"), F.count_if(F.col("partial") & F.col("kept")).alias("n_partial"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))
+    return rows.withColumn("cost_usd", r((F.col("input_tokens") * price_in + F.col("output_tokens") * price_out) / 1e6, 6))
+
+
+def _drawn(*keys: str | Column, seed: int) -> Column:
+    """An order by hash, the same wherever it is computed."""
+    return F.sha2(F.concat_ws(":", *[F.col(k) if isinstance(k, str) else k for k in keys], F.lit(str(seed))), 256)
 
 
 def stratified_sample(golden: DataFrame, sample: int, seed: int = 7) -> DataFrame:
     """All unanswerable questions and an even share of the other categories, up to `sample`
     rows; who is chosen is decided by a hash, so the choice is the same everywhere."""
-    order = [F.xxhash64("id", F.lit(seed)), F.col("id")]
+    order = [_drawn("id", seed=seed), F.col("id")]
     none = F.col("category") == "unanswerable"
-    rest = golden.where(~none)
-    room = F.greatest(F.lit(sample) - golden.where(none).agg(F.count("*")).scalar(), F.lit(0))
-    share = F.greatest(F.floor(room / rest.agg(F.count_distinct("category")).scalar()), F.lit(1))
-    each = rest.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy(*order))).where(F.col("n") <= share)
-    cut = each.withColumn("n", F.row_number().over(Window.orderBy(*order))).where(F.col("n") <= room).drop("n")
+    counts = golden.groupBy().agg(F.count_if(none).alias("n"), F.count_distinct(F.when(~none, F.col("category"))).alias("c")).select(F.greatest(F.lit(sample) - F.col("n"), F.lit(0)).alias("room"), "c")
+    share = F.greatest(F.floor(F.col("room") / F.col("c")), F.lit(1))
+    each = golden.where(~none).withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy(*order))).where(F.col("n") <= max(sample, 1))
+    each = each.crossJoin(F.broadcast(counts)).where(F.col("n") <= share)  # one row of counts
+    cut = each.withColumn("n", F.row_number().over(Window.orderBy(*order))).where(F.col("n") <= F.col("room")).select(*golden.columns)  # of a sample's rows
     return golden.where(none).unionByName(cut)
 
 
+def paper_sample(chunks: DataFrame, papers: int, head: int = 2, more: int = 6, seed: int = 7) -> DataFrame:
+    """(paper_id, part, nth, chunk_id): of some papers, drawn by a hash, the first chunks and
+    some more drawn from all of theirs, which may be the same ones."""
+    ids = chunks.select("paper_id").distinct()
+    chosen = ids.orderBy(_drawn("paper_id", seed=seed), "paper_id").limit(papers)
+    rows = chunks.join(F.broadcast(chosen), "paper_id", "left_semi").select("paper_id", "chunk_id", "chunk_index")
+    nth = lambda *by: F.row_number().over(Window.partitionBy("paper_id").orderBy(*by))
+    first = rows.withColumn("nth", nth("chunk_index", "chunk_id")).where(F.col("nth") <= head).withColumn("part", F.lit("head"))
+    drawn = rows.withColumn("nth", nth(_drawn("chunk_id", seed=seed), "chunk_id")).where(F.col("nth") <= more).withColumn("part", F.lit("drawn"))
+    return first.unionByName(drawn).select("paper_id", "part", "nth", "chunk_id")
+
+
 def total_cost(usage: Column) -> Column:
     """Sum of the costs in a map of node to usage struct."""
     return F.bround(F.aggregate(F.map_values(usage), F.lit(0.0), lambda s, u: s + F.coalesce(u["cost_usd"], F.lit(0.0))), 6)

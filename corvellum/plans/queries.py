@@ -32,7 +32,7 @@ def golden(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), "paper_id", "year", "text").distinct()
+    return latest(table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), "paper_id", "year", "text", "indexed_at"), ["id"], "indexed_at")
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -84,12 +84,6 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers").select("paper_id", T.token_estimate(F.col("full_text")).alias("estimate"), "n_tokens")
 
 
-def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines on most pages of their paper."""
-    lines = chunking.page_lines(pages(spark, d)).select("paper_id", "page", F.col("line").alias("text"))
-    return layout.repeated_texts(lines)
-
-
 def page_full_text(spark: SparkSession, d: str) -> DataFrame:
     return layout.full_texts(pages(spark, d))
 
@@ -140,8 +134,8 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of which the index holds no chunk."""
-    held = table(spark, d, "chunks").select("paper_id", "page").distinct()
+    """Pages that no quote was ever found on, so that nothing of them is cached."""
+    held = citations(spark, d).where("verified").select("paper_id", "page").distinct()
     return missing(pages(spark, d).select("paper_id", "page"), held, ["paper_id", "page"])
 
 
@@ -284,11 +278,16 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metric_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.retrieval_summary(_retrieved(spark, d), ["category"])
+    refused = runs(spark, d).where("id is not null").groupBy("id").agg(F.max("refused_by_prefix").alias("refused"))
+    return metrics.retrieval_summary(_retrieved(spark, d).join(refused, "id", "left"), ["category"])
 
 
 def golden_violation(spark: SparkSession, d: str) -> DataFrame:
-    return golden_violations(golden(spark, d), ["factual", "cross_paper", "comparison", "unanswerable"])
+    """Faults of the question set once its comparisons are delivered twice, its factual
+    questions lose their papers, and runs' own categories are taken over."""
+    rows = golden(spark, d).select("id", "category", F.when(F.col("category") == "factual", F.array().cast("array<string>")).when(F.col("category") == "unanswerable", F.array("id")).otherwise(F.col("expected_paper_ids")).alias("expected_paper_ids"))
+    again = rows.where("category = 'comparison'").withColumn("category", F.lit("contrast"))
+    return golden_violations(rows.unionByName(again), ["factual", "cross_paper", "comparison", "unanswerable"])
 
 
 def category_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -393,7 +392,7 @@ def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALL = (
-    token_df, block_normalize, sentence_units, section_carry_forward, section_text, fixed_windows, chunk_pack, math_score, token_estimate, repeated_lines, page_full_text, year_detect, content_hash_id,
+    token_df, block_normalize, sentence_units, section_carry_forward, section_text, fixed_windows, chunk_pack, math_score, token_estimate, page_full_text, year_detect, content_hash_id,
     locate_candidates, multi_part_gate, short_titles, renumbered_questions, paper_inventory, distinct_papers, upsert_merge, cache_misses, index_lookup, bm25_topk, bm25_recent, dense_topk_cosine, hybrid_rrf,
     rrf_fuse, interleave_facets, per_paper_cap, rerank_term_hits, first_appearance_dedup, answer_contexts, quote_exact_verify, quote_verify, quote_fuzzy, first_paper_quotes, citation_render, match_types, recall_at_k, metric_aggregate,
     golden_violation, category_counts, route_accuracy, confusion_dense, per_class_scores, misroutes, rewrite_metrics, within_question_delta, fired_despite_good, grounding_summary, refusal_correctness,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 from collections.abc import Sequence
 
@@ -18,7 +19,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def latest(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """One row a key, the last by the given columns: repeated deliveries count once.
 
-    A hash aggregate over the key, as a hot key has few distinct rows; no sort of all rows.
+    Rows are reduced before they are shuffled; as they hold texts, Spark aggregates them by
+    sorting within tasks, by key only.
     """
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(*keys, "_x.*").select(*df.columns)
@@ -31,9 +33,14 @@ def library_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> D
 
 
 def golden_set(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation questions of a JSON file, with defaults for what is missing."""
+    """Evaluation questions of a JSON or YAML file, with defaults for what is missing."""
     schema = "id string, question string, ground_truth string, expected_paper_ids array<string>, category string"
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    df = yaml_rows(spark, path, schema) if path.endswith((".yaml", ".yml")) else spark.read.schema(schema).option("multiLine", True).json(path)
+    return with_defaults(df)
+
+
+def with_defaults(df: DataFrame) -> DataFrame:
+    """Questions as they count when fields are missing."""
     return df.select("id", "question", F.coalesce("ground_truth", F.lit("")).alias("ground_truth"), F.coalesce("expected_paper_ids", F.array().cast("array<string>")).alias("expected_paper_ids"), F.coalesce("category", F.lit("factual")).alias("category"))
 
 
@@ -51,6 +58,12 @@ def golden_violations(golden: DataFrame, categories: Sequence[str]) -> DataFrame
     return found.unionByName(repeated)
 
 
+def route_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Labels(id, with_paper, no_paper, paper_open, notes) of a JSON or YAML file."""
+    schema = "id string, with_paper string, no_paper string, paper_open string, notes string"
+    return yaml_rows(spark, path, schema) if path.endswith((".yaml", ".yml")) else spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def latest_results(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the newest results file that has configurations; others are passed over."""
     df = spark.read.option("multiLine", True).json(f"{folder}/*.json")
@@ -87,9 +100,23 @@ def event_frames(event: Column, payload: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(payload), F.lit("\n\n"))
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    """One JSON object a row; for reports, which are small by nature."""
-    df.write.mode("overwrite").json(path)
+def write_results(df: DataFrame, folder: str, at: datetime.datetime) -> str:
+    """The rows of a report, small by nature, as one JSON file named by a time in UTC."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{at.astimezone(datetime.UTC):%Y%m%dT%H%M%SZ}.json")
+    text = json.dumps({"configs": [json.loads(x) for x in df.toJSON().collect()]}, ensure_ascii=False, indent=2)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path.toString()
+
+
+def yaml_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A YAML list of mappings with the declared fields; needs a YAML library on the driver."""
+    import yaml  # optional: JSON sources need none
+
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    return spark.createDataFrame([json.dumps(r, ensure_ascii=False, default=str) for r in yaml.safe_load(text) or []], "string").select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def markdown(df: DataFrame, order: Sequence[str] = ()) -> str:

@@ -1,22 +1,25 @@
 """The index as a stream's sink: pages arrive as files, their papers' chunks are replaced.
 
-Every micro-batch writes a new version of the index and then moves the pointer to it, so
-readers see whole versions only, and a batch that runs again after a failure replaces its
-own version.  What is ingested twice changes nothing.
+The index is dealt into buckets by paper.  A micro-batch writes the buckets it touches anew, as
+a version of its own, and then a manifest that names the version of every bucket, so readers see
+whole versions only, what isn't touched isn't rewritten, and a batch that runs again after a
+failure replaces its own version.  What is ingested twice changes nothing.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvellum.operators import chunking
-from corvellum.session import shared_folder
-from corvellum.sources.tables import latest, merge_chunks
+from corvellum.session import checkpointed, new_folder
+from corvellum.sources.tables import latest
 
+#: Buckets of an index; a parameter, to be set by the size of the corpus.
+BUCKETS = 64
 PAGES = "paper_id string, page int, text string, parsed_at timestamp_ntz"
 
 
@@ -26,28 +29,48 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def current_version(spark: SparkSession, index: str) -> int | None:
+def _manifests(spark: SparkSession, index: str) -> list[int]:
     fs, at = _files(spark, index)
     names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    done = [int(n[5:]) for n in names if n.startswith("done-")]
-    return max(done, default=None)
+    return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+
+
+def manifest(spark: SparkSession, index: str, before: int | None = None) -> dict[int, int]:
+    """The version that holds each bucket, of the newest whole version (below `before`)."""
+    done = [v for v in _manifests(spark, index) if before is None or v < before]
+    if not done:
+        return {}
+    text = spark.read.text(f"{index}/manifest-{done[-1]}.json", wholetext=True).first().value
+    return {int(b): v for b, v in json.loads(text).items()}
+
+
+def _read(spark: SparkSession, index: str, held: dict[int, int]) -> DataFrame | None:
+    return spark.read.parquet(*[f"{index}/version-{v}/bucket={b}" for b, v in sorted(held.items())]) if held else None
 
 
 def read_index(spark: SparkSession, index: str) -> DataFrame | None:
-    """The newest whole version, or None before the first."""
-    version = current_version(spark, index)
-    return None if version is None else spark.read.parquet(f"{index}/version-{version}")
+    """The newest whole version, or None before the first chunk."""
+    return _read(spark, index, manifest(spark, index))
 
 
-def apply_batch(pages: DataFrame, version: int, index: str, papers: DataFrame, strategy: str) -> None:
+def apply_batch(pages: DataFrame, version: int, index: str, papers: DataFrame, strategy: str, buckets: int = BUCKETS) -> None:
     """Replace the chunks of the batch's papers; all pages of a paper come in one batch."""
     spark = pages.sparkSession
+    of = F.pmod(F.xxhash64("paper_id"), F.lit(buckets)).cast("int").alias("bucket")
+    ingested = pages.select("paper_id").distinct()
+    touched = [r.bucket for r in ingested.select(of).distinct().collect()]  # at most `buckets`
     new = chunking.chunks(latest(pages, ["paper_id", "page"], "parsed_at"), papers, strategy)
-    before = [v for v in [current_version(spark, index)] if v is not None and v < version]
-    merged = merge_chunks(spark.read.parquet(f"{index}/version-{before[0]}"), new) if before else new
-    merged.write.mode("overwrite").parquet(f"{index}/version-{version}")
-    fs, at = _files(spark, f"{index}/done-{version}")
-    fs.create(at, True).close()
+    held = manifest(spark, index, version)
+    before = _read(spark, index, {b: held[b] for b in touched if b in held})
+    merged = new if before is None else before.join(ingested, "paper_id", "left_anti").unionByName(new)
+    merged = checkpointed(merged.withColumn("bucket", of))
+    merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/version-{version}")
+    filled = [r.bucket for r in merged.select("bucket").distinct().collect()]
+    held = {b: v for b, v in held.items() if b not in touched} | {b: version for b in filled}
+    fs, at = _files(spark, f"{index}/manifest-{version}.json")
+    out = fs.create(at, True)
+    out.write(bytearray(json.dumps(held).encode()))
+    out.close()
 
 
 def ingest_stream(spark: SparkSession, source: str, index: str, checkpoint: str, papers: DataFrame, strategy: str = "section_context") -> StreamingQuery:
@@ -82,7 +105,7 @@ def event_windows(spark: SparkSession, path: str) -> DataFrame:
 
     The result has a row a window and type and goes to the shared folder, not the driver.
     """
-    out = f"{shared_folder(spark)}/event-windows-{uuid.uuid4().hex}"
+    out = new_folder(spark, "event-windows")
     stream = table_stream(spark, path)
     query = windowed(stream).writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -7,7 +7,7 @@ def test_labels_by_arm(spark):
     labels = spark.createDataFrame([("a", "single_paper", "library"), ("z", "web", "web")], "id string, with_paper string, no_paper string")
     questions = spark.createDataFrame([("a", "q", "factual")], "id string, question string, category string")
     assert {(r.arm, r.expected) for r in runs.labels_by_arm(labels, questions).collect()} == {("with_paper", "single_paper"), ("no_paper", "library")}
-    assert runs.configurations(spark).count() == 9
+    assert runs.configurations(spark).count() == 12
 
 
 def test_errors_fall_back(spark):
@@ -48,5 +48,5 @@ def test_verified_answers(spark):
     papers = spark.createDataFrame([(t, 1, "p") for t in "tuv"], "thread_id string, rank int, paper_id string")
     answers = spark.createDataFrame([("t", "So <quote>the gap closes when the budget is large</quote> and <quote>nothing of this stands there at all</quote>."), ("u", "No quotes."), ("v", None)], "thread_id string, answer string")
     got = {r.thread_id: r for r in quotes.verified_answers(answers, papers, pages).collect()}
-    assert got["t"].answer == 'So "the gap closes when the budget is large" [p. 1] and "nothing of this stands there at all" [unverified].' and (got["t"].n_verified, got["t"].n_unverified) == (1, 1)
+    assert got["t"].answer == 'So "the gap closes when the budget is large" [p. 1] and [unverified].' and (got["t"].n_verified, got["t"].n_unverified) == (1, 1)
     assert got["u"].answer == "No quotes." and got["v"].answer == ""
