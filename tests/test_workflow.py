@@ -19,3 +19,11 @@ def test_decisions_of_every_depth(spark):
     df = spark.createDataFrame(list(given.items()), "decision string, expected boolean").withColumn("got", workflow.is_approved(F.col("decision")))
     assert len(df._jdf.queryExecution().analyzed().toString()) < 5000
     assert [r.decision for r in df.where("got is null or got != expected").collect()] == []
+
+
+def test_last_decision_counts(spark):
+    asked = spark.createDataFrame([(t, "web") for t in "abcde"], "thread_id string, route string")
+    said = [("a", 1, "no"), ("a", 2, '{"decision": {"approve": " OK "}}'), ("b", 1, "yes"), ("b", 2, '{"approved": false}'), ("c", 1, None), ("e", 1, '"Approved "'), ("z", 1, "yes")]
+    got = workflow.approvals(asked, spark.createDataFrame(said, "thread_id string, seq int, decision string"))
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+    assert {(r.thread_id, r.status, r.effective_route) for r in got.collect()} == {("a", "approved", "web"), ("b", "denied", "library"), ("c", "denied", "library"), ("d", "awaiting", None), ("e", "approved", "web")}
