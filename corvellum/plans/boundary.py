@@ -74,7 +74,7 @@ def page_files(spark: SparkSession, d: str) -> DataFrame:
     """Pages written as text files and read again by folder."""
     folder = new_folder(spark, "pages")
     S.write_pages(Q.pages(spark, d).where("text is not null").select("paper_id", F.translate("text", "\r\n", "  ").alias("text")).repartition("paper_id"), folder)
-    return spark.read.text(folder).groupBy("paper_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("value")).alias("n_chars"))
+    return S.read_pages(spark, folder).groupBy("paper_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("value")).alias("n_chars"))
 
 
 def index_rebuild(spark: SparkSession, d: str) -> DataFrame:

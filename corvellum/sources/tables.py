@@ -95,6 +95,15 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.select("paper_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("paper_id").text(path)
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(value, paper_id): the lines of text files in a folder a paper.
+
+    The schema is given, as ids must not be told by their looks: 12e345678901 would pass for a
+    number of billions of digits, which Spark writes out, and 007 for 7.
+    """
+    return spark.read.schema("value string, paper_id string").text(path)
+
+
 def event_frames(event: Column, payload: Column) -> Column:
     """Server-sent events: name, JSON payload, blank line."""
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(payload), F.lit("\n\n"))

@@ -60,6 +60,16 @@ def test_sinks(spark, tmp_path):
     assert {r.chunk_id for r in sources.missing(chunks(spark), chunks(spark).where("paper_id = 'p'"), ["chunk_id"]).collect()} == {"q:0"}
 
 
+def test_pages_keep_their_ids(spark, tmp_path):
+    """Ids that look like numbers, even of billions of digits, stay as they are."""
+    rows = [("007", "a"), ("007", ""), ("12", "b"), ("1e2", "c"), ("12e345678901", "d"), ("5e999999999", "e"), ("2024-01-02", "f")]
+    df = spark.createDataFrame(rows, "paper_id string, text string")
+    for k, some in enumerate((df, df.where("paper_id in ('007', '12')"))):
+        sources.write_pages(some, str(tmp_path / f"pages{k}"))
+        back = sources.read_pages(spark, str(tmp_path / f"pages{k}"))
+        assert sorted((r.paper_id, r.value) for r in back.collect()) == sorted(map(tuple, some.collect()))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     papers = spark.createDataFrame([("p", "P", 2020, "p.pdf"), ("q", "Q", None, "q.pdf")], "paper_id string, title string, year int, path string")
     source, index, state = (str(tmp_path / x) for x in ("source", "index", "state"))
