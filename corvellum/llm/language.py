@@ -137,24 +137,26 @@ def classify(c: Classifier, texts: list[str]) -> Iterator[list[tuple[int, int, i
     isw[1:] = word_table()[code_points("\n".join([*texts, ""]))]
     begins = np.flatnonzero(np.diff(isw) == 1)
     first = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    at = 0
-    for s, k, base, home in zip(spans, telling, first, main):
-        places = np.array(s, np.int64).reshape(-1, 2) + base
-        words = np.searchsorted(begins, places[:, 1]) - np.searchsorted(begins, places[:, 0])
-        lang, sure = np.full(len(s), -1), np.zeros(len(s))
-        own = sizes[at : at + k.sum()]
-        at += len(own)
-        if len(own):
-            best = own.argmin(axis=1)
-            gain = own[:, home] - own[np.arange(len(own)), best]
-            lang[k] = taken = np.where(gain >= GAIN * words[k], best, home)
-            size = own[np.arange(len(own)), taken]
-            others = own.copy()
-            others[np.arange(len(own)), taken] = np.inf
-            # Each byte of lead is worth 8 bits of odds; a sixteenth is trusted.
-            sure[k] = 1 / (1 + np.exp2(np.clip((size - others.min(axis=1)) / 2, -40, 40)))
+    # All sentences of the batch at once, as a document alone has few.
+    count = np.fromiter(map(len, spans), np.int64, len(spans))
+    places = np.array([x for s in spans for x in s], np.int64).reshape(-1, 2) + np.repeat(first[:-1], count)[:, None]
+    words = np.searchsorted(begins, places[:, 1]) - np.searchsorted(begins, places[:, 0])
+    told = np.concatenate([np.zeros(0, bool), *telling])
+    lang, sure = np.full(len(told), -1), np.zeros(len(told))
+    if len(sizes):
+        row, home = np.arange(len(sizes)), np.repeat(main, count)[told]
+        best = sizes.argmin(axis=1)
+        gain = sizes[row, home] - sizes[row, best]
+        lang[told] = taken = np.where(gain >= GAIN * words[told], best, home)
+        size = sizes[row, taken]
+        others = sizes.copy()
+        others[row, taken] = np.inf
+        # Each byte of lead is worth 8 bits of odds; a sixteenth is trusted.
+        sure[told] = 1 / (1 + np.exp2(np.clip((size - others.min(axis=1)) / 2, -40, 40)))
+    rows = zip(words.tolist(), lang.tolist(), sure.tolist())
+    for s in spans:
         out: list[list] = []
-        for (a, b), n, x, p in zip(s, words, lang, sure):
+        for (a, b), (n, x, p) in zip(s, rows):
             if out and (x == out[-1][3] or x < 0 or out[-1][3] < 0):
                 last = out[-1]
                 last[1], last[2], last[3] = b, last[2] + n, max(x, last[3])
@@ -162,7 +164,7 @@ def classify(c: Classifier, texts: list[str]) -> Iterator[list[tuple[int, int, i
                 last[5] += n * (x >= 0)
             else:
                 out.append([a, b, n, x, n * p, n * (x >= 0)])
-        yield [(a, b, int(n), int(x), float(p / max(1, m))) for a, b, n, x, p, m in out]
+        yield [(a, b, n, x, float(p / max(1, m))) for a, b, n, x, p, m in out]
 
 
 def fit(sample: list[tuple[str, str]], rounds: int = 4) -> dict[str, bytes]:

@@ -70,3 +70,15 @@ def test_windows_are_bounded_and_whole():
         assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
         kept = "".join(text[a:b] for a, b in spans)
         assert "".join(kept.split()) == "".join("".join(text[a:b] for a, b in language.sentences(text)).split())
+
+
+def test_batch_is_told_at_once(monkeypatch):
+    """A batch gives what its texts give one by one, by as many array passes as one text."""
+    texts = [t for _, _, t, *_ in [(*r, "") for r in docs()] if t is not None] + ["", " ", "x = 3", "Ja."]
+    c = language.Classifier(language.fit([(lang, t) for _, lang, t in docs()[:80]]))
+    single = [row for t in texts for row in language.classify(c, [t])]
+    passes = []
+    search = language.np.searchsorted
+    monkeypatch.setattr(language.np, "searchsorted", lambda *a, **k: passes.append(1) or search(*a, **k))
+    assert list(language.classify(c, texts)) == single and len(passes) == 2
+    assert list(language.classify(c, [])) == []
