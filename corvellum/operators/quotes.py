@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corvellum.functions import text as T
 from corvellum.functions.folding import fold, fold_many
 from corvellum.functions.rolling import U64, mix64, placed_seeds, slices
-from corvellum.session import checkpointed, tasks
+from corvellum.session import kept, tasks
 
 FUZZY = 95.0
 #: Characters of a cell, and how many of the next cell's it repeats for seeds over its end.
@@ -49,7 +49,7 @@ def placed_pages(pages: DataFrame) -> DataFrame:
     pages of a paper, and no text passes through a window.
     """
     forms = pages.where("text is not null and paper_id is not null and page is not null").select("paper_id", "page", fold("text").alias("form")).where("form != ''")
-    forms = checkpointed(forms.withColumn("n", F.length("form")))
+    forms = kept(forms.withColumn("n", F.length("form")))
     block = F.floor(F.col("page") / PAGES_SUMMED).alias("block")
     sizes = forms.select("paper_id", "page", block, (F.col("n") + 1).cast("bigint").alias("room"))
     before = lambda keys, order, c: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -186,9 +186,9 @@ class QuoteSearch:
         self.pages = pages.select("paper_id", "page", "text")
         asked = quotes.where("paper_id is not null and quote is not null").select("paper_id", "quote").distinct().repartition(tasks(quotes.sparkSession), "quote")
         asked = asked.select(F.xxhash64("paper_id", "quote").alias("q"), "paper_id", F.xxhash64("paper_id").alias("paper"), fold("quote").alias("form")).where("form != ''")
-        self.asked = checkpointed(asked.withColumn("m", F.length("form").cast("bigint")))
+        self.asked = kept(asked.withColumn("m", F.length("form").cast("bigint")))
         self.placed = placed_pages(pages)
-        self.cells = checkpointed(source_cells(self.placed))
+        self.cells = kept(source_cells(self.placed))
 
     def exact(self) -> DataFrame:
         """(q, paper_id, position): every place in the source where a quote stands."""
@@ -208,7 +208,7 @@ class QuoteSearch:
     def fuzzy(self, found: DataFrame) -> DataFrame:
         """(q, paper_id, position, score) of the best alignment, of at least FUZZY, of each
         quote that isn't found; of equal ones the first."""
-        left = checkpointed(self.asked.join(found.select("q").distinct(), "q", "left_anti"))
+        left = kept(self.asked.join(found.select("q").distinct(), "q", "left_anti"))
         m = F.col("m")
         edits = F.floor(m * (1 - FUZZY / 100) * 2 + 1e-6)
         sizes = self.placed.groupBy("paper_id").agg((F.max(F.col("at") + F.col("n"))).alias("total"))
@@ -334,7 +334,7 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame, fuzzy: bool = True) -> Da
     search = QuoteSearch(quotes, pages)
     found = search.exact().groupBy("q", "paper_id").agg(F.min("position").alias("position")).withColumn("match_type", F.lit("exact"))
     if fuzzy:
-        found = checkpointed(found)  # for what is left, and for the result
+        found = kept(found)  # for what is left, and for the result
         found = found.unionByName(search.fuzzy(found).select("q", "paper_id", "position", F.lit("fuzzy").alias("match_type")))
     places = search.located(found).select("q", "page", "char_offset", "position", "match_type")
     rows = quotes.withColumn("q", F.xxhash64("paper_id", "quote")).join(places, "q", "left")

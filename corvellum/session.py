@@ -54,6 +54,22 @@ def checkpointed(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+def kept(table: DataFrame) -> DataFrame:
+    """The table with its lineage cut by compressed files in the shared folder.
+
+    For tables of texts: a checkpoint's rows are not compressed.  What was shuffled to make the
+    table is removed from the disks as soon as it is written.
+    """
+    spark, clean = table.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folder, before = new_folder(spark, "kept"), spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        table.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(clean, before)
+    return spark.read.schema(table.schema).parquet(folder)
+
+
 def tasks(spark: SparkSession) -> int:
     """Tasks of a stage that works long on little data, which adaptive execution would merge."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,3 +1,4 @@
+import os
 import random
 
 from corvellum.operators import quotes
@@ -144,3 +145,16 @@ def test_long_quote_over_a_page_end(spark):
     pages = spark.createDataFrame([("p", n, t) for n, t in texts], "paper_id string, page int, text string")
     r = quotes.verify_quotes(asked, pages).first()
     assert (r.match_type, r.page) == ("exact", 1)
+
+
+def test_kept_texts_are_compressed(spark):
+    from pyspark.sql import functions as F
+
+    from corvellum.session import kept
+
+    rows = spark.range(2000).select("id", F.repeat(F.lit("the same words again "), 50).alias("text"), F.lit(None).cast("string").alias("none"))
+    got = kept(rows.repartition(3, "id"))
+    assert got.dtypes == rows.dtypes and got.exceptAll(rows).isEmpty() and got.count() == 2000
+    search = quotes.QuoteSearch(spark.createDataFrame([("p", "again")], "paper_id string, quote string"), rows.select(F.lit("p").alias("paper_id"), F.col("id").cast("int").alias("page"), "text"))
+    size = sum(os.path.getsize(f.removeprefix("file://")) for f in search.cells.inputFiles())
+    assert 0 < size < 2000 * 1000 / 4
