@@ -27,3 +27,13 @@ def test_last_decision_counts(spark):
     got = workflow.approvals(asked, spark.createDataFrame(said, "thread_id string, seq int, decision string"))
     assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 10_000
     assert {(r.thread_id, r.status, r.effective_route) for r in got.collect()} == {("a", "approved", "web"), ("b", "denied", "library"), ("c", "denied", "library"), ("d", "awaiting", None), ("e", "approved", "web")}
+
+
+def test_plan_does_not_grow_with_depth(spark, monkeypatch):
+    asked = spark.createDataFrame([("a", "web")], "thread_id string, route string")
+    decisions = spark.createDataFrame([("a", 1, "yes")], "thread_id string, seq int, decision string")
+    sizes = []
+    for depth in (1, 2, 3):
+        monkeypatch.setattr(workflow, "DECISION_DEPTH", depth)
+        sizes.append(len(workflow.approvals(asked, decisions)._jdf.queryExecution().analyzed().toString()))
+    assert max(sizes) < 1.1 * min(sizes), sizes
