@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corvellum.functions import text as T
 from corvellum.functions.folding import fold, fold_many
 from corvellum.functions.rolling import U64, mix64, placed_seeds, slices
-from corvellum.session import kept, tasks
+from corvellum.session import cleaned, kept, tasks
 
 FUZZY = 95.0
 #: Characters of a cell, and how many of the next cell's it repeats for seeds over its end.
@@ -32,8 +32,16 @@ PAGES_SUMMED = 1024
 #: Seeds of a quote: characters of a gram, and grams in a run.  Quotes too short for the last
 #: are looked up whole.
 LEVELS = ((16, 16), (8, 5))
-#: Characters of the pieces by which fuzzy matches are looked up, longer ones first.
-PIECES = (8, 5)
+#: Characters of the pieces by which fuzzy matches are looked up, and of those by which passages
+#: are told before they are aligned.
+PIECE, TELLING = 5, (5, 4)
+#: Pieces that have to stand near each other where a similarity of FUZZY leaves as many whole.
+HITS = 8
+#: Characters of the source and blocks of a paper that are searched for fuzzy matches at once;
+#: of a paper of more characters than both allow the blocks are longer.
+BLOCK, BLOCKS = 1 << 20, 256
+#: Places of pieces that are held at once; those of one quote stay together.
+PLACES = 500_000
 #: Bits of the map of wanted hashes that goes to every task; its size never depends on data.
 MAP_BITS = 25
 
@@ -83,7 +91,8 @@ def wanted_map(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
     nobody asks for, and lets more of them pass the more hashes there are.
     """
     slot = F.pmod("h", F.lit(1 << bits))
-    words = hashes.select(F.floor(slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(pmod(h, {1 << bits}), 64) AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    with cleaned(hashes.sparkSession):
+        words = hashes.select(F.floor(slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(pmod(h, {1 << bits}), 64) AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     found = np.zeros(1 << (bits - 6), np.int64)
     found[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return found
@@ -144,11 +153,6 @@ def _edits(size):
     return (size * (1 - FUZZY / 100) * 2 + 1e-6) // 1
 
 
-def _fuzzy_levels(size: np.ndarray) -> list[tuple[np.ndarray, int, int, int]]:
-    long = size // (_edits(size) + 1) >= PIECES[0]
-    return [(np.flatnonzero(long), PIECES[0], 1, PIECES[0]), (np.flatnonzero(~long), PIECES[1], 1, PIECES[1])]
-
-
 SEEDS = "q bigint, h bigint, start bigint"
 
 
@@ -193,13 +197,16 @@ class QuoteSearch:
     def exact(self) -> DataFrame:
         """(q, paper_id, position): every place in the source where a quote stands."""
         seeds = self.asked.select("q", "paper", "form").mapInArrow(_in_quotes(_exact_levels), SEEDS)
-        short = [r.m for r in self.asked.where(F.col("m") < sum(LEVELS[-1]) - 1).select("m").distinct().collect()]  # a dozen sizes
-        hits = _looked_up(seeds, self.cells, [*LEVELS, *((int(m), 1) for m in sorted(short))])
-        hits = hits.repartition("h").distinct()
+        least = [a + b - 1 for a, b in LEVELS]
+        sizes = [int(r.m) for r in self.asked.select(F.least("m", F.lit(least[0])).alias("m")).distinct().collect()]  # some dozen
+        kinds = {next((kind for kind, n in zip(LEVELS, least) if m >= n), (m, 1)) for m in sizes}  # only what is asked for
+        # The filter is what Spark would add to one of both uses, which then shared no exchange.
+        hits = _looked_up(seeds, self.cells, sorted(kinds)).where("h is not null and at is not null").repartition("h").distinct()
         counts = hits.groupBy("h").agg(F.count("at").alias("n"))  # of at, so both uses share one exchange
         rarest = seeds.join(counts, "h").groupBy("q").agg(F.min_by(F.struct("h", "start"), F.struct("n", "h", "start")).alias("x")).select("q", "x.*")
         asked = self.asked.select("q", "paper_id", "m", "form")
-        maybe = rarest.join(hits, "h").select("q", (F.col("at") - F.col("start")).alias("low")).where("low >= 0").join(asked, "q").withColumn("high", F.col("low") + F.col("m"))
+        maybe = kept(rarest.join(hits, "h").select("q", (F.col("at") - F.col("start")).alias("low")).where("low >= 0"))  # so that hits leave the disk before texts come
+        maybe = maybe.join(asked, "q").withColumn("high", F.col("low") + F.col("m"))
         stands = _windows(maybe.select("q", "paper_id", "low", "high"), self.cells, ["q"]).join(asked.select("q", "form"), "q").where("window = form")
         return stands.select("q", "paper_id", F.col("low").alias("position"))
 
@@ -209,30 +216,21 @@ class QuoteSearch:
         """(q, paper_id, position, score) of the best alignment, of at least FUZZY, of each
         quote that isn't found; of equal ones the first."""
         left = kept(self.asked.join(found.select("q").distinct(), "q", "left_anti"))
-        m = F.col("m")
-        edits = F.floor(m * (1 - FUZZY / 100) * 2 + 1e-6)
-        sizes = self.placed.groupBy("paper_id").agg((F.max(F.col("at") + F.col("n"))).alias("total"))
-        left = left.withColumn("edits", edits).join(sizes, "paper_id")
-        seeds = left.where("edits > 0").select("q", "paper", "form").mapInArrow(_in_quotes(_fuzzy_levels), SEEDS)
-        hits = _looked_up(seeds, self.cells, [(n, 1) for n in PIECES]).repartition("h").distinct()
-        counts = hits.groupBy("h").agg(F.count("at").alias("n"))
-        # Of disjoint pieces one more than there may be edits is enough: the rarest of them.
-        told = seeds.join(counts, "h", "left").join(left.select("q", "edits"), "q").withColumn("n", F.coalesce("n", F.lit(0)))
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("n", "h", "start"))
-        chosen = told.withColumn("rank", rank).where("rank <= edits + 1 and n > 0").select("q", "h", "start", "edits")
-        # Starts that lie close together are one place to align at.
-        step = 2 * F.col("edits") + 2
-        near = chosen.join(hits, "h").select("q", F.floor((F.col("at") - F.col("start")) / step).alias("near")).distinct().join(left, "q")
-        low, high = F.col("near") * step - F.col("edits"), (F.col("near") + 1) * step + F.col("edits") + m
-        placed = near.select("q", "paper_id", F.greatest(low, F.lit(0)).alias("low"), F.least(high, F.col("total")).alias("high"), "total").where("low < high")
-        # A source shorter than the quote is itself what is looked for in the quote.
-        whole = left.where("total < m").select("q", "paper_id", F.lit(0).cast("bigint").alias("low"), F.col("total").alias("high"), "total")
-        at = F.sequence(F.lit(1), F.greatest(m - PIECES[-1] + 1, F.lit(1)), F.lit(PIECES[-1]).cast("bigint"))
-        quotes = left.select("q", "form", F.transform(at, lambda i: F.substring("form", i.cast("int"), F.lit(PIECES[-1]))).alias("pieces"), (F.floor(m / PIECES[-1]) - F.col("edits")).alias("least"), (F.col("total") < m).alias("swapped"))
-        likely = _windows(placed.unionByName(whole).distinct(), self.cells, ["q", "total"]).join(quotes, "q")
-        held = F.size(F.filter("pieces", lambda x: F.contains(F.col("window"), x)))
-        rows = likely.where(F.col("swapped") | (held >= F.col("least"))).select("q", "paper_id", "form", "window", "low", (F.col("low") == 0).alias("opens"), (F.col("high") == F.col("total")).alias("ends"))
-        scored = rows.repartition(tasks(rows.sparkSession), "q", "low").mapInArrow(_aligned, "q bigint, paper_id string, position bigint, score double")
+        sizes = kept(self.placed.groupBy("paper_id").agg((F.max(F.col("at") + F.col("n"))).alias("total")))
+        left = left.join(sizes, "paper_id").select("q", "paper_id", "form", "total")
+        # A paper's cells and quotes meet in units: papers up to a block share one, longer ones
+        # have one a block, each with as much of the next as their longest quote may reach into.
+        longest = left.groupBy("paper_id").agg(F.max(F.length("form")).alias("longest"))
+        span = F.greatest(F.lit(BLOCK // CELL), F.ceil(F.col("total") / (CELL * BLOCKS)))
+        parted = F.broadcast(sizes.where(F.col("total") > BLOCK).join(longest, "paper_id", "left").select("paper_id", span.alias("span"), F.ceil(F.coalesce("longest", F.lit(0)) * 2 / CELL).alias("reach")))  # a row a BLOCK of text at most
+        units = (sizes.agg(F.sum("total").alias("n")).first().n or 0) // BLOCK + tasks(left.sparkSession)
+        unit = F.when(F.col("span").isNull(), F.pmod(F.xxhash64("paper_id"), F.lit(units))).otherwise(F.xxhash64("paper_id")).alias("unit")
+        one, count = F.array(F.lit(0).cast("bigint")), tasks(left.sparkSession) * 4
+        blocks = lambda low, high: F.explode(F.when(F.col("span").isNull(), one).otherwise(F.sequence(F.floor(low / F.col("span")), F.floor(high / F.col("span"))))).alias("block")
+        cells = self.cells.join(parted, "paper_id", "left").select(unit, blocks(F.greatest(F.col("cell") - F.col("reach"), F.lit(0)), F.col("cell")), "paper_id", "cell", "text")
+        asked = left.join(parted, "paper_id", "left").select(unit, blocks(F.lit(0), F.floor((F.col("total") - 1) / CELL)), "q", "paper_id", "form", "total")
+        met = cells.repartition(count, "unit", "block").groupBy("unit", "block").cogroup(asked.repartition(count, "unit", "block").groupBy("unit", "block"))
+        scored = met.applyInArrow(_nearest, "q bigint, paper_id string, position bigint, score double")
         best = F.max_by(F.struct("paper_id", "position", "score"), F.struct("score", -F.col("position")))
         return scored.groupBy("q").agg(best.alias("x")).select("q", "x.*")
 
@@ -256,15 +254,107 @@ def _placed_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(at, pa.int32())], [*names, "char_offset"])
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for q, paper, form, window, low, opens, ends in zip(*(batch.column(c).to_pylist() for c in ("q", "paper_id", "form", "window", "low", "opens", "ends"))):
-            score, at = partial_ratio(form, window, opens=opens, ends=ends)
-            if score >= FUZZY:
-                out.append((q, paper, low + at, score))
-        columns = zip(*out) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["q", "paper_id", "position", "score"])
+def _nearest(cells: pa.Table, quotes: pa.Table) -> pa.Table:
+    """(q, paper_id, position, score): the best alignment of each of a unit's quotes with the
+    source its cells hold, if it is FUZZY at least; of equal ones the first."""
+    best: dict[int, tuple[float, int]] = {}
+    papers = {p: k for k, p in enumerate(quotes.column("paper_id").unique().to_pylist())}
+    held = sorted((papers[p], cell, text) for p, cell, text in zip(*(cells.column(c).to_pylist() for c in ("paper_id", "cell", "text"))) if p in papers)
+    paper, cell, texts = (list(x) for x in zip(*held)) if held else ([], [], [])
+    bases, parts = {}, {}
+    for k, c, text in zip(paper, cell, texts):
+        bases.setdefault(k, c * CELL)
+        parts.setdefault(k, []).append(text[:CELL])
+    sources = {k: "".join(x) for k, x in parts.items()}
+    forms, of, total = quotes.column("form").to_pylist(), [papers[p] for p in quotes.column("paper_id").to_pylist()], quotes.column("total").to_pylist()
+
+    def align(i: int, low: int, high: int) -> None:
+        low, high, base = max(low, 0), min(high, total[i]), bases[of[i]]
+        if low < base or high > base + len(sources[of[i]]) or low >= high:
+            return  # in another block, which holds all of it
+        window = sources[of[i]][low - base : high - base]
+        if len(forms[i]) <= total[i] and not _alike(forms[i], window):
+            return
+        score, at = partial_ratio(forms[i], window, opens=low == 0, ends=high == total[i])
+        if score >= FUZZY:
+            best[i] = max(best.get(i, (0.0, 0)), (score, -low - at))
+
+    for i, k in enumerate(of):
+        if total[i] < len(forms[i]) and k in bases:  # a shorter source is itself what is looked for
+            align(i, 0, total[i])
+    for i, low, high in _near_places(forms, of, total, texts, paper, cell):
+        align(i, low, high)
+    rows = sorted(best)
+    score, position = (pa.array([best[i][0] for i in rows], pa.float64()), pa.array([-best[i][1] for i in rows], pa.int64()))
+    take = pa.array(rows, pa.int64())
+    return pa.table({"q": quotes.column("q").take(take), "paper_id": quotes.column("paper_id").take(take), "position": position, "score": score})
+
+
+def _alike(form: str, window: str) -> bool:
+    """Whether as many pieces of the quote stand in the window as a similarity of FUZZY leaves."""
+    most = int(_edits(len(form)))
+    for size in TELLING:
+        lost = 0
+        for i in range(0, len(form) - size + 1, size):
+            if form[i : i + size] not in window:
+                lost += 1
+                if lost > most:
+                    return False
+    return True
+
+
+def _near_places(forms: list[str], of: list[int], total: list[int], texts: list[str], paper: list[int], cell: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(number of a form, low, high): the passages of the forms' sources, given as cells, in
+    which as many of their pieces stand as a similarity of FUZZY must leave whole."""
+    size, of, total = np.fromiter(map(len, forms), np.int64, len(forms)), np.array(of, np.int64), np.array(total, np.int64)
+    edits = _edits(size).astype(np.int64)
+    paper, cell = np.array(paper, np.int64), np.array(cell, np.int64)
+    rows = np.flatnonzero(edits > 0)
+    if not len(rows) or not texts:
+        return
+    value, owner, start = placed_seeds([forms[i] for i in rows], PIECE, 1)
+    apart = start % PIECE == 0
+    start, owner = start[apart], rows[owner[apart]]
+    h = _hashed(value[apart], of[owner], PIECE, 1)
+    wanted = np.zeros(1 << 16, np.int64)
+    np.bitwise_or.at(wanted, (h.astype(U64) & U64((1 << 22) - 1)) >> U64(6), (U64(1) << (h.astype(U64) & U64(63))).view(np.int64))
+    found = []
+    for i, j in slices(texts):
+        value, k, at = placed_seeds(texts[i:j], PIECE, 1)
+        g = _hashed(value, paper[i + k], PIECE, 1)
+        hit = np.flatnonzero((at < CELL) & is_wanted(wanted, g))
+        found.append((g[hit], cell[i + k[hit]] * CELL + at[hit]))
+    g, place = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(g, kind="stable")
+    g, place = g[order], place[order]
+    first = np.searchsorted(g, h)
+    count = np.searchsorted(g, h, "right") - first
+    # Of pieces some more than there may be edits are enough: those that stand here least.
+    order = np.lexsort((count, owner))
+    start, owner, first, count = start[order], owner[order], first[order], count[order]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    least = np.minimum(size // PIECE - edits, HITS)  # at the ends of a source
+    use = np.flatnonzero(rank < (edits + least)[owner])
+    start, owner, first, count = start[use], owner[use], first[use], count[use]
+    # Elsewhere passages are as long as the quote, so half of the edits are insertions.
+    inner = least + edits - 2 * np.floor(size * (1 - FUZZY / 100) + 1e-6).astype(np.int64)
+    ends = np.flatnonzero(np.diff(owner, append=-1)) + 1  # of quotes
+    ends = ends[np.flatnonzero(np.diff(np.cumsum(count)[ends - 1] // PLACES, append=-1))]
+    for begin, end in zip([0, *ends[:-1]], ends):
+        n = count[begin:end]
+        who = np.repeat(owner[begin:end], n)
+        at = place[np.repeat(first[begin:end] - (np.cumsum(n) - n), n) + np.arange(len(who))] - np.repeat(start[begin:end], n)
+        # Pieces of one passage begin within `edits` characters, thus within one of two rows of
+        # bands that are twice as wide and lie half a band apart.
+        half = edits[who] + 1
+        band = np.concatenate([2 * (at // (2 * half)), 2 * ((at + half) // (2 * half)) + 1])
+        key, stand = np.unique((np.concatenate([who, who]) << 40) + (band + (1 << 39)), return_counts=True)
+        who, band = key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
+        half = edits[who] + 1
+        low = (band >> 1) * 2 * half - (band & 1) * half - edits[who]
+        high = low + 2 * half + 2 * edits[who] + size[who]
+        ok = stand >= np.where((low <= 0) | (high >= total[who]), least[who], inner[who])
+        yield from zip(who[ok].tolist(), low[ok].tolist(), high[ok].tolist())
 
 
 def _common(a: str, masks: dict[str, int], full: int) -> int:
@@ -335,7 +425,7 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame, fuzzy: bool = True) -> Da
     found = search.exact().groupBy("q", "paper_id").agg(F.min("position").alias("position")).withColumn("match_type", F.lit("exact"))
     if fuzzy:
         found = kept(found)  # for what is left, and for the result
-        found = found.unionByName(search.fuzzy(found).select("q", "paper_id", "position", F.lit("fuzzy").alias("match_type")))
+        found = found.unionByName(kept(search.fuzzy(found).select("q", "paper_id", "position", F.lit("fuzzy").alias("match_type"))))
     places = search.located(found).select("q", "page", "char_offset", "position", "match_type")
     rows = quotes.withColumn("q", F.xxhash64("paper_id", "quote")).join(places, "q", "left")
     return rows.select("quote_id", "paper_id", "quote", "page", "char_offset", "position", F.col("match_type").isNotNull().alias("verified"), F.coalesce("match_type", F.lit("failed")).alias("match_type"))

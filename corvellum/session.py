@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,20 +56,28 @@ def checkpointed(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What queries made and run within shuffle is removed from the disks as soon as they end."""
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(clean, before)
+
+
 def kept(table: DataFrame) -> DataFrame:
     """The table with its lineage cut by compressed files in the shared folder.
 
     For tables of texts: a checkpoint's rows are not compressed.  What was shuffled to make the
     table is removed from the disks as soon as it is written.
     """
-    spark, clean = table.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    folder, before = new_folder(spark, "kept"), spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")
-    try:
+    folder = new_folder(table.sparkSession, "kept")
+    with cleaned(table.sparkSession):
         table.write.option("compression", "zstd").parquet(folder)
-    finally:
-        spark.conf.set(clean, before)
-    return spark.read.schema(table.schema).parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)
 
 
 def tasks(spark: SparkSession) -> int:

@@ -158,3 +158,46 @@ def test_kept_texts_are_compressed(spark):
     search = quotes.QuoteSearch(spark.createDataFrame([("p", "again")], "paper_id string, quote string"), rows.select(F.lit("p").alias("paper_id"), F.col("id").cast("int").alias("page"), "text"))
     size = sum(os.path.getsize(f.removeprefix("file://")) for f in search.cells.inputFiles())
     assert 0 < size < 2000 * 1000 / 4
+
+
+def _templated(seed, words):
+    random.seed(seed)
+    some = ["".join(random.choice("abcdefghijklm") for _ in range(random.randint(4, 11))) for _ in range(14)]
+    return lambda n=words: " ".join(random.choice(some) for _ in range(n))
+
+
+def test_fuzzy_search_shuffles_no_passages(spark):
+    """Quotes whose pieces stand all over a long paper: texts and quotes are shuffled, not every
+    passage that holds a piece."""
+    text = _templated(11, 300)
+    pages = spark.createDataFrame([("p", n, text()) for n in range(150)], "paper_id string, page int, text string")
+    quoted = spark.createDataFrame([("p", text(12)) for _ in range(60)], "paper_id string, quote string")
+    search = quotes.QuoteSearch(quoted, pages)
+    found = search.exact().limit(0).localCheckpoint()
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    sizes = lambda: {f.getPath(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())}
+    before = sizes()
+    search.fuzzy(found).collect()
+    assert sum(n for f, n in sizes().items() if f not in before) < 2 * sum(len(r.text) for r in pages.collect())
+
+
+def test_fuzzy_places_over_blocks(spark, monkeypatch):
+    """Papers of several blocks, quotes at the ends of blocks and of the source."""
+    monkeypatch.setattr(quotes, "BLOCK", 2 * quotes.CELL)
+    text = _templated(12, 700)
+    texts = {n: text() for n in range(6)}
+    source = " ".join(texts.values())
+    random.seed(13)
+    asked = []
+    for k, at in enumerate([0, len(source) - 90, *(quotes.CELL * random.randint(1, 10) + random.randint(-100, 20) for _ in range(50))]):
+        quote = list(source[at : at + random.randint(30, 90)])
+        for _ in range(random.randint(1, 5)):
+            i = random.randrange(len(quote))
+            quote[i : i + random.choice((0, 1))] = random.choice(("x", "", "yz"))
+        asked.append((str(k), "p", " ".join("".join(quote).split())))
+    quoted = spark.createDataFrame(asked, "quote_id string, paper_id string, quote string")
+    pages = spark.createDataFrame([("p", n, t) for n, t in texts.items()], "paper_id string, page int, text string")
+    got = {r.quote_id: r for r in quotes.verify_quotes(quoted, pages).collect()}
+    want = {k: quotes.partial_ratio(q, source) for k, _, q in asked}
+    assert {k: r.position for k, r in got.items() if r.match_type != "exact"} == {k: at if score >= quotes.FUZZY else None for k, (score, at) in want.items() if got[k].match_type != "exact"}
+    assert 10 < sum(r.match_type == "fuzzy" for r in got.values()) < 52
